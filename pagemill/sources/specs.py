@@ -39,9 +39,9 @@ DEFAULT_CRAWLER = {"max_depth": 6, "crawl_delay": 1.0, "ignore_robots_txt": Fals
 MAX_DRIVER_ROWS = 10_000
 
 
-def read_spec(spark: SparkSession, path: str) -> DataFrame:
-    """Spec files (one JSON document each); missing files and broken JSON are errors."""
-    return (spark.read.schema(SPEC_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_spec(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Spec files, one JSON document each or (``lines``) per line; missing files and broken JSON are errors."""
+    return (spark.read.schema(SPEC_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
             .select(F.col("_metadata.file_path").alias("spec_id"), "*"))
 
 
@@ -130,7 +130,7 @@ def selector_of(attr: Column, quoted: bool = False) -> Column:
 
 def attribute_selectors(attributes: Column) -> Column:
     """Merged attributes as a list of selectors."""
-    return F.transform(collect_attributes(attributes), selector_of)
+    return F.transform(collect_attributes(attributes), lambda a: selector_of(a))
 
 
 def hierarchy_steps(hierarchy: Column) -> Column:
