@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import let
+from .expr import bind, sql_function
 
 # Schemes whose references are resolved / that carry an authority / ``;params``.
 RELATIVE_SCHEMES = ("", "file", "ftp", "gopher", "http", "https", "imap", "mms", "nntp", "prospero", "rtsp",
@@ -24,133 +24,147 @@ PARAM_SCHEMES = ("", "ftp", "hdl", "http", "https", "imap", "mms", "prospero", "
 # RFC 3986 appendix B, total over all strings.
 _SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _PARAMS = r"(?s)^((?:.*/)?[^/;]*)((?:;[^/]*)?)$"
+_DIRT = r"^[\x00-\x20]+|[\t\r\n]"
 
 
-def url_parts(url: Column) -> Column:
+def _names(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# The functions below write SQL text; every step that is used more than once is bound to a name.
+
+
+def _parts(url: str) -> str:
     """``array(scheme, authority, path, query, fragment)``; absent parts are empty.
 
     Line breaks cannot occur in a cleaned URL, so they separate the parts of one regex pass.
     """
-    clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-    return F.split(F.regexp_replace(clean, _SPLIT, "$1\n$2\n$3\n$4\n$5"), "\n")
+    clean = f"regexp_replace({url}, r'{_DIRT}', '')"
+    return f"split(regexp_replace({clean}, r'{_SPLIT}', '$1\\n$2\\n$3\\n$4\\n$5'), '\\n')"
 
 
-def base_parts(url: Column) -> Column:
-    """:func:`url_parts` with the scheme in lower case, as :func:`resolve_parts` wants its base."""
-    return let(url_parts(url), lambda p: F.array(F.lower(p[0]), p[1], p[2], p[3], p[4]))
+def _base_parts(url: str) -> str:
+    return bind(_parts(url), "p", "array(lower(p[0]), p[1], p[2], p[3], p[4])")
 
 
-def unsplit(parts: Column) -> Column:
+def _unsplit(parts: str) -> str:
     """A URL from its five parts; delimiters of empty parts go."""
-    scheme, authority, path, query, fragment = (parts[i] for i in range(5))
-    rooted = F.startswith(path, F.lit("/"))
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(authority != "", F.concat(
-            F.lit("//"), authority, F.when((path != "") & ~rooted, F.lit("/")).otherwise("")))
-        .when(F.startswith(path, F.lit("//")), F.lit("//"))
-        .when((scheme != "") & ((path == "") | rooted) & scheme.isin(*AUTHORITY_SCHEMES), F.lit("//"))
-        .otherwise(""),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
+    return bind(parts, "u", f"""concat(
+        if(u[0] <> '', concat(u[0], ':'), ''),
+        case when u[1] <> '' then concat('//', u[1], if(u[2] <> '' and not startswith(u[2], '/'), '/', ''))
+             when startswith(u[2], '//') then '//'
+             when u[0] <> '' and (u[2] = '' or startswith(u[2], '/')) and u[0] in ({_names(AUTHORITY_SCHEMES)}) then '//'
+             else '' end,
+        u[2],
+        if(u[3] <> '', concat('?', u[3]), ''),
+        if(u[4] <> '', concat('#', u[4]), ''))""")
+
+
+def _tidy_path(segments: str) -> str:
+    """Remove ``.`` and ``..``; a path ending in one keeps its trailing slash."""
+    kept = """aggregate(s, cast(array() as array<string>), (acc, x) ->
+        case when x = '..' then slice(acc, 1, greatest(size(acc) - 1, 0)) when x = '.' then acc else concat(acc, array(x)) end)"""
+    return bind(segments, "s", bind(
+        f"array_join(if(element_at(s, -1) in ('.', '..'), concat({kept}, array('')), {kept}), '/')",
+        "t", "if(t = '', '/', t)"))
 
 
-def normalize_url(url: Column) -> Column:
-    """Lower-case scheme and authority, keep the rest."""
-    return let(let(url_parts(url), lambda p: F.array(F.lower(p[0]), F.lower(p[1]), p[2], p[3], p[4])), unsplit)
+def _join_paths(base: str, path: str) -> str:
+    """A rooted path is tidied; another replaces the last segment of the base, without empty segments inside."""
+    parent = bind(f"split({base}, '/')", "b", "if(element_at(b, -1) = '', b, slice(b, 1, size(b) - 1))")
+    merged = bind(f"concat({parent}, split({path}, '/'))", "m",
+                  "filter(m, (x, i) -> x <> '' or i = 0 or i = size(m) - 1)")
+    return f"""case when startswith({path}, '/') and not contains({path}, '/.') then {path}
+        when startswith({path}, '/') then {_tidy_path(f"split({path}, '/')")} else {_tidy_path(merged)} end"""
 
 
-def _tidy_path(segments: Column) -> Column:
-    """Remove ``.`` and ``..``; a path ending in one keeps its trailing slash."""
-    def fold(s: Column) -> Column:
-        kept = F.aggregate(
-            s, F.array().cast("array<string>"),
-            lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(x == ".", acc)
-            .otherwise(F.concat(acc, F.array(x))))
-        path = F.array_join(F.when(F.element_at(s, -1).isin(".", ".."), F.concat(kept, F.array(F.lit(""))))
-                            .otherwise(kept), "/")
-        return F.when(path == "", F.lit("/")).otherwise(path)
+def _path_and_params(scheme: str, path: str) -> str:
+    """``array(path, ;params of its last segment)``."""
+    return f"""if(contains({path}, ';') and {scheme} in ({_names(PARAM_SCHEMES)}),
+        array(regexp_extract({path}, r'{_PARAMS}', 1), regexp_extract({path}, r'{_PARAMS}', 2)), array({path}, ''))"""
+
+
+def _resolve(base: str, href: str) -> str:
+    """Reference resolution against split base parts, in stages."""
+    chosen = f"""named_struct('p', p, 'own', lower(p[0]), 'scheme', if(p[0] = '', {base}[0], lower(p[0])))"""
+    judged = f"""named_struct('p', k.p, 'own', k.own, 'scheme', k.scheme,
+        'foreign', array_join({base}, '') = '' or k.scheme <> {base}[0] or k.scheme not in ({_names(RELATIVE_SCHEMES)}),
+        'auth', k.scheme in ({_names(AUTHORITY_SCHEMES)}),
+        'same', k.p[2] = '' or (k.p[2] = ';' and k.scheme in ({_names(PARAM_SCHEMES)})))"""
+    # An authority of its own leaves nothing to inherit.
+    whole = "(j.foreign or (j.p[1] <> '' and j.auth))"
+    path = bind(_path_and_params("j.scheme", "j.p[2]"), "q", bind(
+        f"({_path_and_params(f'{base}[0]', f'{base}[2]')})[0]", "bp",
+        f"concat({_join_paths('bp', 'q[0]')}, if(length(q[1]) > 1, q[1], ''))"))
+    target = _unsplit(f"""array(
+        if(j.foreign, j.own, j.scheme),
+        lower(case when j.foreign or j.p[1] <> '' then j.p[1] when j.auth then {base}[1] else '' end),
+        case when {whole} then j.p[2] when j.same then {base}[2] else {path} end,
+        if(not {whole} and j.same and j.p[3] = '', {base}[3], j.p[3]),
+        j.p[4])""")
+    return f"""if(coalesce({href}, '') = '', '', {bind(_parts(href), "p", bind(chosen, "k", bind(judged, "j", target)))})"""
+
+
+def _unquote(value: str) -> str:
+    """Decode percent escapes; malformed ones stay as they are."""
+    return f"""if(contains({value}, '%'), url_decode(regexp_replace(replace({value}, '+', '%2B'),
+        r'%(?![0-9A-Fa-f]{{2}})', '%25')), {value})"""
 
-    return let(segments, fold)
 
+def _quote(value: str) -> str:
+    """Percent-encode everything but letters, digits and ``/_.-~``."""
+    out = f"url_encode({value})"
+    for have, want in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = f"replace({out}, '{have}', '{want}')"
+    return out
 
-def _join_paths(base: Column, path: Column) -> Column:
-    parent = let(F.split(base, "/"), lambda b: F.when(F.element_at(b, -1) == "", b).otherwise(
-        F.slice(b, F.lit(1), F.size(b) - 1)))
 
-    def merged(s: Column) -> Column:        # empty segments between the ends go
-        return F.filter(s, lambda x, i: (x != "") | (i == 0) | (i == F.size(s) - 1))
+def base_parts(url: Column) -> Column:
+    """A page URL split once, as :func:`resolve_parts` wants its base."""
+    return sql_function(_base_parts("in.url"), url=url)
 
-    # Common cases first: nothing to tidy on a rooted path.
-    rooted = F.startswith(path, F.lit("/"))
-    plain = ~F.contains(path, F.lit("/.")) & rooted
-    return F.when(plain, path).when(rooted, _tidy_path(F.split(path, "/"))).otherwise(
-        _tidy_path(let(F.concat(parent, F.split(path, "/")), merged)))
 
+def normalize_url(url: Column) -> Column:
+    """Lower-case scheme and authority, keep the rest."""
+    return sql_function(bind(_parts("in.url"), "p", _unsplit("array(lower(p[0]), lower(p[1]), p[2], p[3], p[4])")), url=url)
 
-def _path_and_params(scheme: Column, path: Column) -> Column:
-    """``array(path, ;params of its last segment)``."""
-    return F.when(F.contains(path, F.lit(";")) & scheme.isin(*PARAM_SCHEMES), F.array(
-        F.regexp_extract(path, _PARAMS, 1), F.regexp_extract(path, _PARAMS, 2))).otherwise(F.array(path, F.lit("")))
 
+def resolve_parts(base: Column, href: Column) -> Column:
+    """Resolve ``href`` against a base from :func:`base_parts`; ``""`` for no href."""
+    return sql_function(_resolve("in.base", "in.href"), base=base, href=href)
 
-def _new_path(scheme: Column, base: Column, path: Column) -> Column:
-    return let(_path_and_params(scheme, path), lambda q: F.concat(
-        _join_paths(_path_and_params(base[0], base[2])[0], q[0]), F.when(F.length(q[1]) > 1, q[1]).otherwise("")))
 
+def resolve_link(base: Column, href: Column) -> Column:
+    """Absolute, normalised target of a link; ``""`` for a missing or empty href."""
+    return sql_function(bind(_base_parts("in.base"), "base", _resolve("base", "in.href")), base=base, href=href)
 
-def resolve_parts(base: Column, href: Column) -> Column:
-    """Resolve ``href`` against a base from :func:`base_parts`; ``""`` for no href.
 
-    Worked out in stages, so that nothing is evaluated twice for a link.
-    """
-    no_base = (base[0] == "") & (base[1] == "") & (base[2] == "") & (base[3] == "") & (base[4] == "")
-
-    def choose(p: Column) -> Column:
-        own = F.lower(p[0])
-        scheme = F.when(own == "", base[0]).otherwise(own)
-        return let(F.struct(p.alias("p"), own.alias("own"), scheme.alias("scheme")), judge)
-
-    def judge(k: Column) -> Column:
-        p, scheme = k["p"], k["scheme"]
-        foreign = no_base | (scheme != base[0]) | ~scheme.isin(*RELATIVE_SCHEMES)
-        return let(F.struct(
-            p.alias("p"), F.when(foreign, k["own"]).otherwise(scheme).alias("scheme"), foreign.alias("foreign"),
-            scheme.isin(*AUTHORITY_SCHEMES).alias("authority"),
-            ((p[2] == "") | ((p[2] == ";") & scheme.isin(*PARAM_SCHEMES))).alias("same")), assemble)
-
-    def assemble(k: Column) -> Column:
-        p = k["p"]
-        own = (p[1] != "") & k["authority"]        # an authority of its own: nothing to inherit
-        as_is = k["foreign"] | own
-        return let(F.array(
-            k["scheme"],
-            F.lower(F.when(k["foreign"] | (p[1] != ""), p[1]).when(k["authority"], base[1]).otherwise("")),
-            F.when(as_is, p[2]).when(k["same"], base[2]).otherwise(_new_path(k["scheme"], base, p[2])),
-            F.when(~as_is & k["same"] & (p[3] == ""), base[3]).otherwise(p[3]),
-            p[4]), unsplit)
-
-    return F.when(F.coalesce(href, F.lit("")) == "", F.lit("")).otherwise(let(url_parts(href), choose))
+def unquote(value: Column) -> Column:
+    """Decode percent escapes; malformed ones stay as they are."""
+    return sql_function(_unquote("in.value"), value=value)
 
 
-def resolve_link(base: Column, href: Column) -> Column:
-    """Absolute, normalised target of a link; ``""`` for a missing or empty href."""
-    return let(base_parts(base), lambda b: resolve_parts(b, href))
+def canonical_rule_path(value: Column) -> Column:
+    """A robots rule path, recomposed and with canonical escapes."""
+    return sql_function(_quote(_unsplit(_base_parts("in.value"))), value=value)
+
+
+def robots_path(url: Column) -> Column:
+    """The form of a URL that robots rules are compared with: path and beyond, canonical escapes."""
+    target = bind(_parts(_unquote("in.url")), "p", _unsplit(
+        "array('', '', regexp_replace(p[2], r'(?s)^((?:.*/)?[^/;]*);$', '$1'), p[3], p[4])"))
+    return sql_function(bind(_quote(target), "q", "if(q = '', '/', q)"), url=url)
 
 
 def url_domain(url: Column) -> Column:
     """Authority including a port, case kept; empty when there is none."""
-    return F.regexp_extract(F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", ""),
-                            r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
+    return F.regexp_extract(F.regexp_replace(url, _DIRT, ""), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
 
 
 def robots_url(url: Column) -> Column:
     """``scheme://authority/robots.txt`` of an http(s) URL, else empty."""
-    return let(F.regexp_extract(url, r"^https?://[^/]+", 0), lambda root: F.when(root == "", root).otherwise(
-        F.concat(root, F.lit("/robots.txt"))))
+    root = F.regexp_extract(url, r"^https?://[^/]+", 0)
+    return F.when(root == "", root).otherwise(F.concat(root, F.lit("/robots.txt")))
 
 
 def url_in_domains(url: Column, domains: Column | list[str]) -> Column:
@@ -168,26 +182,3 @@ def url_matches_any(url: Column, patterns: Column | list[str] | None) -> Column:
         return out
     return (F.coalesce(F.size(patterns), F.lit(0)) <= 0) | F.exists(
         F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.rlike(url, p))
-
-
-def unquote(value: Column) -> Column:
-    """Decode percent escapes; malformed ones stay as they are."""
-    return F.when(F.contains(value, F.lit("%")), F.url_decode(
-        F.regexp_replace(F.regexp_replace(value, r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(value)
-
-
-def quote(value: Column) -> Column:
-    """Percent-encode everything but letters, digits and ``/_.-~``."""
-    out = F.url_encode(value)
-    for have, want in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
-        out = F.replace(out, F.lit(have), F.lit(want))
-    return out
-
-
-def robots_path(url: Column) -> Column:
-    """The form of a URL that robots rules are compared with: path and beyond, canonical escapes."""
-    def target(p: Column) -> Column:
-        path = F.regexp_replace(p[2], r"(?s)^((?:.*/)?[^/;]*);$", "$1")
-        return let(F.array(F.lit(""), F.lit(""), path, p[3], p[4]), unsplit)
-
-    return let(quote(let(url_parts(unquote(url)), target)), lambda q: F.when(q == "", F.lit("/")).otherwise(q))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import let, span
-from ..functions.urls import base_parts, quote, robots_path, unquote, unsplit, url_domain
+from ..functions.urls import canonical_rule_path, robots_path, unquote, url_domain
 from ..functions.values import strip
 
 # Field names and the letters used for them while grouping lines.
@@ -41,8 +41,8 @@ def read_robots(files: DataFrame) -> DataFrame:
             tokens, at + 1, F.coalesce(F.get(s, k + 1), F.size(tokens)) - at)))
 
     def rule(t: Column) -> Column:
-        path = quote(let(base_parts(t["value"]), unsplit))
-        return F.struct(((t["kind"] == "A") | (t["value"] == "")).alias("allow"), path.alias("path"))
+        return F.struct(((t["kind"] == "A") | (t["value"] == "")).alias("allow"),
+                        canonical_rule_path(t["value"]).alias("path"))
 
     def group(seg: Column) -> Column:
         delays = F.filter(seg, lambda t: (t["kind"] == "C") & t["value"].rlike(r"^[0-9]+$"))
