@@ -15,15 +15,20 @@ Everything after this stage is Catalyst expressions; no page needs a shuffle.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Tasks get this module's code with the plan, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODE = T.StructType([
     T.StructField("pre", T.IntegerType()),
     T.StructField("last", T.IntegerType()),      # largest pre inside the subtree
@@ -76,9 +81,14 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*)")
 _ATTR = re.compile(r"""[ \t\n\f\r/]*([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)"""
                    r"""(?:[ \t\n\f\r]*=[ \t\n\f\r]*("[^"]*"|'[^']*'|[^ \t\n\f\r>]*))?""")
 # The common well-formed tag in one match; anything else takes the attribute loop.
-_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r]+[^ \t\n\f\r"'>/=]+(?:="[^"]*"|='[^']*'|="""
-                        r"""[^ \t\n\f\r"'>/=]+)?)*)[ \t\n\f\r]*/?>""")
 _PLAIN_ATTR = re.compile(r"""([^ \t\n\f\r"'>/=]+)(?:="([^"]*)"|='([^']*)'|=([^ \t\n\f\r"'>/=]+))?""")
+_ATTRS = r"""(?:[ \t\n\f\r]+[^ \t\n\f\r"'>/=]+(?:="[^"]*"|='[^']*'|=[^ \t\n\f\r"'>/=]+)?)*"""
+_PLAIN_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*)({_ATTRS})[ \t\n\f\r]*/?>")
+# All markup of a well-formed page; group 1 is an anchor's attributes, group 3 marks what is not well formed.
+_MARKUP = re.compile(
+    rf"<a(?=[ \t\n\f\r/>])({_ATTRS})[ \t\n\f\r]*/?>|<!--(?:>|->|.*?(?:-->|\Z))"
+    rf"|<({'|'.join(sorted(RAW_TEXT | ESCAPABLE_TEXT))})(?=[ \t\n\f\r/>]){_ATTRS}[ \t\n\f\r]*/?>.*?(?=</\2[ \t\n\f\r/>]|\Z)"
+    rf"|</?[a-zA-Z][^ \t\n\f\r/>]*{_ATTRS}[ \t\n\f\r]*/?>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>|(<(?=[a-zA-Z/!?]))", re.I | re.S)
 _TAG_END = re.compile(r"[ \t\n\f\r/]*>")
 _RAW_END = {t: re.compile(rf"</{t}(?=[ \t\n\f\r/>])", re.I) for t in RAW_TEXT | ESCAPABLE_TEXT}
 
@@ -380,6 +390,49 @@ def _add_page(out: _Batch, source: str, keep: frozenset[str] | None) -> None:
     out.page_chunks.append(len(chunks))
 
 
+def _hrefs(source: str) -> list[str | None]:
+    """href (or None) of every anchor, in document order, without building the tree.
+
+    A page with any malformed tag goes through the tree builder, so both ways agree.
+    """
+    out: list[str | None] = []
+    for m in _MARKUP.finditer(source):
+        if m.lastindex == 1:
+            href, listed = None, m.group(1)
+            for key, double, single, bare in _PLAIN_ATTR.findall(listed) if listed else ():
+                if key.lower() == "href":
+                    href = unescape(double or single or bare)
+                    break
+            out.append(href)
+        elif m.lastindex == 3:
+            batch = _Batch()
+            _add_page(batch, source, frozenset(("href",)))
+            at = batch.attr_at
+            return [batch.values[at[i]] if at[i + 1] > at[i] else None
+                    for i, tag in enumerate(batch.tag) if tag == "a"]
+    return out
+
+
+def href_batches(html_col: str) -> Callable:
+    """Arrow function that replaces the source column by ``hrefs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, BATCH_PAGES):
+                rows = batch.slice(first, BATCH_PAGES)
+                found = pa.array([_hrefs(s or "") for s in rows.column(html_col).to_pylist()], pa.list_(pa.string()))
+                fields = [f for f in batch.schema.names if f != html_col]
+                yield pa.RecordBatch.from_arrays([rows.column(f) for f in fields] + [found], names=fields + ["hrefs"])
+
+    return run
+
+
+def page_hrefs(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Replace ``html`` by ``hrefs``: the cheap form of :func:`shred_pages` when only links matter."""
+    fields = [f for f in pages.schema.fields if f.name != html_col]
+    return pages.mapInArrow(href_batches(html_col), T.StructType([*fields, T.StructField("hrefs", CHUNKS)]))
+
+
 def shred_batches(html_col: str, attrs: list[str] | None, keep_html: bool) -> Callable:
     """The function handed to ``mapInArrow``; other columns pass through untouched."""
     keep = None if attrs is None else frozenset(attrs)

@@ -24,6 +24,8 @@ PARAM_SCHEMES = ("", "ftp", "hdl", "http", "https", "imap", "mms", "prospero", "
 # RFC 3986 appendix B, total over all strings.
 _SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _PARAMS = r"(?s)^((?:.*/)?[^/;]*)((?:;[^/]*)?)$"
+_ROOTED = r"^/(?:[^/;?#\x00-\x20][^;?#\x00-\x20]*)?$"
+_DOTS = r"(?:^|/)\.\.?(?:/|$)"
 _DIRT = r"^[\x00-\x20]+|[\t\r\n]"
 
 
@@ -44,7 +46,10 @@ def _parts(url: str) -> str:
 
 
 def _base_parts(url: str) -> str:
-    return bind(_parts(url), "p", "array(lower(p[0]), p[1], p[2], p[3], p[4])")
+    """Parts of a base and, last, the prefix of its rooted links (empty if those need the long way)."""
+    both = tuple(s for s in RELATIVE_SCHEMES if s and s in AUTHORITY_SCHEMES)
+    return bind(_parts(url), "p", bind("lower(p[0])", "sch", f"""array(sch, p[1], p[2], p[3], p[4],
+        if(p[1] <> '' and sch in ({_names(both)}), concat(sch, '://', lower(p[1])), ''))"""))
 
 
 def _unsplit(parts: str) -> str:
@@ -70,12 +75,10 @@ def _tidy_path(segments: str) -> str:
 
 
 def _join_paths(base: str, path: str) -> str:
-    """A rooted path is tidied; another replaces the last segment of the base, without empty segments inside."""
-    parent = bind(f"split({base}, '/')", "b", "if(element_at(b, -1) = '', b, slice(b, 1, size(b) - 1))")
-    merged = bind(f"concat({parent}, split({path}, '/'))", "m",
-                  "filter(m, (x, i) -> x <> '' or i = 0 or i = size(m) - 1)")
-    return f"""case when startswith({path}, '/') and not contains({path}, '/.') then {path}
-        when startswith({path}, '/') then {_tidy_path(f"split({path}, '/')")} else {_tidy_path(merged)} end"""
+    """A rooted path stands alone; another follows the directory of the base, without empty segments inside."""
+    folder = f"if({base} = '', '/', regexp_extract({base}, r'(?s)^.*/', 0))"
+    whole = f"if(startswith({path}, '/'), {path}, regexp_replace(concat({folder}, {path}), '/+', '/'))"
+    return bind(whole, "m", f"case when m rlike r'{_DOTS}' then {_tidy_path("split(m, '/')")} when m = '' then '/' else m end")
 
 
 def _path_and_params(scheme: str, path: str) -> str:
@@ -88,7 +91,7 @@ def _resolve(base: str, href: str) -> str:
     """Reference resolution against split base parts, in stages."""
     chosen = f"""named_struct('p', p, 'own', lower(p[0]), 'scheme', if(p[0] = '', {base}[0], lower(p[0])))"""
     judged = f"""named_struct('p', k.p, 'own', k.own, 'scheme', k.scheme,
-        'foreign', array_join({base}, '') = '' or k.scheme <> {base}[0] or k.scheme not in ({_names(RELATIVE_SCHEMES)}),
+        'foreign', ({base}[0] = '' and {base}[1] = '' and {base}[2] = '' and {base}[3] = '' and {base}[4] = '') or k.scheme <> {base}[0] or k.scheme not in ({_names(RELATIVE_SCHEMES)}),
         'auth', k.scheme in ({_names(AUTHORITY_SCHEMES)}),
         'same', k.p[2] = '' or (k.p[2] = ';' and k.scheme in ({_names(PARAM_SCHEMES)})))"""
     # An authority of its own leaves nothing to inherit.
@@ -102,7 +105,10 @@ def _resolve(base: str, href: str) -> str:
         case when {whole} then j.p[2] when j.same then {base}[2] else {path} end,
         if(not {whole} and j.same and j.p[3] = '', {base}[3], j.p[3]),
         j.p[4])""")
-    return f"""if(coalesce({href}, '') = '', '', {bind(_parts(href), "p", bind(chosen, "k", bind(judged, "j", target)))})"""
+    # A rooted path without anything to tidy, the most frequent link, needs no splitting.
+    plain = f"{base}[5] <> '' and {href} rlike r'{_ROOTED}' and not contains({href}, '/.')"
+    return f"""case when coalesce({href}, '') = '' then '' when {plain} then concat({base}[5], {href})
+        else {bind(_parts(href), "p", bind(chosen, "k", bind(judged, "j", target)))} end"""
 
 
 def _unquote(value: str) -> str:

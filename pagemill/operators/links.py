@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dom import shred_pages
+from ..functions.dom import page_hrefs
 from ..functions.expr import let
 from ..functions.urls import base_parts, resolve_link, resolve_parts
 
@@ -25,9 +25,8 @@ def is_click(href: Column) -> Column:
 
 def extract_links(pages: DataFrame, *keys: str) -> DataFrame:
     """``(keys, url, ord, href)``: every anchor of every page, ``ord`` counting from 1."""
-    shredded = shred_pages(pages.select(*keys, "url", "html"), attrs=["href"])
-    return (shredded.select(*keys, "url", F.posexplode(anchor_hrefs(F.col("nodes"))).alias("ord", "href"))
-            .withColumn("ord", F.col("ord") + 1))
+    found = page_hrefs(pages.select(*keys, "url", "html"))
+    return found.select(*keys, "url", F.posexplode("hrefs").alias("ord", "href")).withColumn("ord", F.col("ord") + 1)
 
 
 def skip_click_hrefs(links: DataFrame) -> DataFrame:
@@ -50,8 +49,8 @@ def resolve_links(links: DataFrame) -> DataFrame:
     return links.withColumn("dst_url", resolve_link(F.col("url"), F.col("href")))
 
 
-def link_targets(nodes: Column, url: Column) -> Column:
+def link_targets(hrefs: Column, url: Column) -> Column:
     """Distinct absolute targets of a page in first-seen order (``array<string>``)."""
-    followed = F.filter(anchor_hrefs(nodes), lambda h: ~is_click(h) & (F.coalesce(h, F.lit("")) != ""))
+    followed = F.filter(hrefs, lambda h: ~is_click(h) & (F.coalesce(h, F.lit("")) != ""))
     return F.array_distinct(let(base_parts(url), lambda base: F.transform(
         followed, lambda h: resolve_parts(base, h))))
