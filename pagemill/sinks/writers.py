@@ -47,8 +47,8 @@ def write_csv(df: DataFrame, options: dict, mode: str = "append") -> None:
 
 def read_csv(spark, options: dict, schema) -> DataFrame:
     """Read back what :func:`write_csv` wrote."""
-    return spark.read.schema(schema).options(**csv_options(options), mode="FAILFAST").csv(
-        _need_path(options, "csv"))
+    reading = {**csv_options(options), "emptyValue": "", "mode": "FAILFAST"}
+    return spark.read.schema(schema).options(**reading).csv(_need_path(options, "csv"))
 
 
 def text_lines(df: DataFrame, delimiter: str = "\t") -> DataFrame:
