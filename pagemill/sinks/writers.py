@@ -47,7 +47,8 @@ def write_csv(df: DataFrame, options: dict, mode: str = "append") -> None:
 
 def read_csv(spark, options: dict, schema) -> DataFrame:
     """Read back what :func:`write_csv` wrote."""
-    reading = {**csv_options(options), "emptyValue": "", "mode": "FAILFAST"}
+    # An unquoted empty field is null by itself; naming "" as the null would take quoted ones too.
+    reading = {**csv_options(options), "nullValue": "\x00", "emptyValue": "", "mode": "FAILFAST"}
     return spark.read.schema(schema).options(**reading).csv(_need_path(options, "csv"))
 
 
