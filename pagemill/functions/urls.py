@@ -24,7 +24,9 @@ PARAM_SCHEMES = ("", "ftp", "hdl", "http", "https", "imap", "mms", "prospero", "
 # RFC 3986 appendix B, total over all strings.
 _SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _PARAMS = r"(?s)^((?:.*/)?[^/;]*)((?:;[^/]*)?)$"
-_ROOTED = r"^/(?:[^/;?#\x00-\x20][^;?#\x00-\x20]*)?$"
+_ROOTED = r"^/(?:[^/;?#\x00-\x20][^;?#\x00-\x20]*)?\z"
+_BELOW = (r"^(?:[.][.]/)*[^./:;?#\x00-\x20][^/:;?#\x00-\x20]*(?:/[^./:;?#\x00-\x20][^/:;?#\x00-\x20]*)*/?\z")
+_ABSOLUTE = r"^[hH][tT][tT][pP][sS]?://[^/?#;\x00-\x20]+(?:/[^?#;\x00-\x20]*)?\z"
 _DOTS = r"(?:^|/)\.\.?(?:/|$)"
 _DIRT = r"^[\x00-\x20]+|[\t\r\n]"
 
@@ -46,10 +48,12 @@ def _parts(url: str) -> str:
 
 
 def _base_parts(url: str) -> str:
-    """Parts of a base and, last, the prefix of its rooted links (empty if those need the long way)."""
+    """Parts of a base, then what plain links need: the prefix of rooted links and the path that
+    relative ones start from (both empty where links have to go the long way)."""
     both = tuple(s for s in RELATIVE_SCHEMES if s and s in AUTHORITY_SCHEMES)
-    return bind(_parts(url), "p", bind("lower(p[0])", "sch", f"""array(sch, p[1], p[2], p[3], p[4],
-        if(p[1] <> '' and sch in ({_names(both)}), concat(sch, '://', lower(p[1])), ''))"""))
+    origin = f"if(p[1] <> '' and sch in ({_names(both)}), concat(sch, '://', lower(p[1])), '')"
+    start = "case when p[2] = '' then '/' when startswith(p[2], '/') and not p[2] rlike r'/[./]|;' then p[2] else '' end"
+    return bind(_parts(url), "p", bind("lower(p[0])", "sch", f"array(sch, p[1], p[2], p[3], p[4], {origin}, {start})"))
 
 
 def _unsplit(parts: str) -> str:
@@ -105,9 +109,20 @@ def _resolve(base: str, href: str) -> str:
         case when {whole} then j.p[2] when j.same then {base}[2] else {path} end,
         if(not {whole} and j.same and j.p[3] = '', {base}[3], j.p[3]),
         j.p[4])""")
-    # A rooted path without anything to tidy, the most frequent link, needs no splitting.
-    plain = f"{base}[5] <> '' and {href} rlike r'{_ROOTED}' and not contains({href}, '/.')"
-    return f"""case when coalesce({href}, '') = '' then '' when {plain} then concat({base}[5], {href})
+    # The most frequent links need no splitting: a path from the root, a path from the folder of the
+    # page (``../`` drops segments of it), and an absolute http URL.
+    rooted = f"{base}[5] <> '' and {href} rlike r'{_ROOTED}' and not contains({href}, '/.')"
+    below = f"{base}[5] <> '' and {base}[6] <> '' and {href} rlike r'{_BELOW}'"
+    keep = f"""greatest(length({base}[6]) - length(replace({base}[6], '/', ''))
+        - cast((length({href}) - length(rest)) div 3 as int), 1)"""
+    from_folder = bind(f"if(startswith({href}, '../'), regexp_replace({href}, r'^(?:[.][.]/)+', ''), {href})", "rest",
+                       f"concat({base}[5], substring_index({base}[6], '/', {keep}), '/', rest)")
+    absolute = bind(f"regexp_extract({href}, r'^[a-zA-Z]+://[^/]*', 0)", "pre",
+                    f"concat(lower(pre), substring({href}, length(pre) + 1))")
+    return f"""case when coalesce({href}, '') = '' then ''
+        when {rooted} then concat({base}[5], {href})
+        when {below} then {from_folder}
+        when {href} rlike r'{_ABSOLUTE}' then {absolute}
         else {bind(_parts(href), "p", bind(chosen, "k", bind(judged, "j", target)))} end"""
 
 

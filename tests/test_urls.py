@@ -12,7 +12,7 @@ HREFS = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x",
          "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "..g", "./../g", "./g/.", "g/./h", "g/../h",
          "g;x=1/./y", "g;x=1/../y", "http:g", "HTTPS://SHOP.example.com/C/1", "mailto:x@Y.com", "javascript:void(0)", "/für/ü b",
          " /sp ", "\t/tab\nx", "a:b", "?", "#", "/a//b", "a//b", "//", "///x", "http://", "HTTP://H?x", "/..;x", "..;x", ";", ";/x",
-         "data:,x#y", "1:2", "x y?z=%20#f g", "/.", "/..", "/a/.", "tel:1;2", "ws://S/x", "%zz%41", "/a%2fb+c", " ", "x/..", "/x?q#"]
+         "data:,x#y", "1:2", "x y?z=%20#f g", "/.", "/..", "/a/.", "tel:1;2", "ws://S/x", "%zz%41", "/a%2fb+c", " ", "x/..", "/x?q#", "/x\n", "g\n", "http://h/x\n", "HTTP://Q.r/s//t", "../g/h/", "../../../../z", "https://Q", "g//h", "a./b", ".a/b"]
 
 
 def normal(url):
