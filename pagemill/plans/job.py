@@ -30,6 +30,8 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
             on_cells: Hook | None = None, write: bool = True, clear: bool = True) -> JobResult:
     """Run one spec over a corpus ``(url, html, status)``.
 
+    The corpus holds one row per URL; where it holds copies, ``arrival`` names the column whose
+    greatest value marks the response that counts.
     ``on_pages`` sees the reached pages before extraction and ``on_cells`` the wide table before
     it is written; both may change what they get. The table is computed once and written to every
     enabled sink.

@@ -20,8 +20,12 @@ def read_robots(files: DataFrame) -> DataFrame:
     """``(host, body, status?)`` -> ``(host, groups, denied)``, one row per host.
 
     A group is a run of user-agent lines with the rules after it, up to a blank line or the next
-    run. Everything happens inside the row, bounded by one robots file.
+    run. Everything happens inside the row, bounded by one robots file. Of several files for a host
+    the greatest counts, so that a join by host never multiplies rows.
     """
+    extra = ["status"] if "status" in files.columns else []
+    files = files.groupBy("host").agg(F.max(F.struct("body", *extra)).alias("f")).select("host", "f.*")
+
     def token(line: Column) -> Column:
         text = strip(F.substring_index(line, "#", 1))
         key = F.lower(strip(F.substring_index(text, ":", 1)))
