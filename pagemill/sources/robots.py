@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import let, span
 from ..functions.urls import canonical_rule_path, robots_path, unquote, url_domain
 from ..functions.values import strip
+from ..operators.lookup import spread_lookup
 
 # Field names and the letters used for them while grouping lines.
 FIELDS = {"user-agent": "U", "allow": "A", "disallow": "D", "crawl-delay": "C", "request-rate": "R"}
@@ -90,12 +91,10 @@ def rules_allow(url: Column, rules: Column) -> Column:
 def with_robots(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """Add ``robots_ok`` and ``robots_delay`` by host.
 
-    At most one robots row per host meets each URL, so the join cannot multiply rows; a host with
-    a large share of all URLs is split by adaptive skew handling, or the rules are broadcast when
-    their measured size allows it.
+    One robots row at most meets each URL, and a host with a large share of all URLs is spread.
     """
     chosen = robots.select("host", agent_group(F.col("groups"), agent).alias("_g"), "denied")
-    return (urls.withColumn("host", url_domain(F.col("url"))).join(chosen, "host", "left")
+    return (spread_lookup(urls.withColumn("host", url_domain(F.col("url"))), chosen, "host", "url")
             .withColumn("robots_ok", ~F.coalesce(F.col("denied"), F.lit(False))
                         & rules_allow(F.col("url"), F.col("_g.rules")))
             .withColumn("robots_delay", F.col("_g.delay"))

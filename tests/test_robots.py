@@ -42,3 +42,25 @@ def test_first_rule_wins_and_missing_files_allow(spark):
     assert kept == sorted([f"https://a/customer/{n}" for n in (10, 105, 2)] + ["https://b/customer/2"] + [
         f"https://d/customer/{n}" for n in (1, 10, 105, 11, 2)])
     assert filter_robots(urls, read_robots(files), ignore=True).count() == 20
+
+
+def test_hot_host_is_spread(spark):
+    """Nine of ten URLs are on one host; no task gets them all, also where nothing is broadcast."""
+    urls = spark.range(0, 100000, 1, 8).select(F.concat(
+        F.lit("https://h"), F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 97).cast("string"), F.lit("/p/"),
+        F.col("id").cast("string")).alias("url"))
+    files = spark.range(97).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.lit(
+        "User-agent: *\nDisallow: /p/1\n").alias("body"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = filter_robots(urls, read_robots(files)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    total = sum(not str(i).startswith("1") for i in range(100000))
+    assert sum(r["count"] for r in kept) == total
+    assert max(r["count"] for r in kept) < 0.45 * total
