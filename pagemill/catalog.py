@@ -6,7 +6,6 @@ goes to a fresh folder, and the returned DataFrame reads it back.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +46,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="pagemill-")
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors share."""
+    return Workspace(spark).path
 
 
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +176,7 @@ SEED_URL = "lower(regexp_extract(upper(url), '^[A-Z]+://[^/?#]*')) || regexp_rep
 @query("spec_scan", """SELECT 'out-' || page_id || '.csv' AS file_path, upper(url) AS url, CAST(2 AS INT) AS n_targets, CAST(3 AS INT)
 AS n_elements, CASE WHEN page_id % 2 = 1 THEN CAST(page_id % 7 AS INT) END AS max_depth FROM pages""")
 def spec_scan(spark, folder):
-    path = scratch() + "/specs"
+    path = scratch(spark) + "/specs"
     derived_specs(spark, folder).select("spec").write.text(path)
     return J.read_spec(spark, path, lines=True).select(
         "data_saving.csv.file_path", F.col("target_urls")[0]["url"].alias("url"),
@@ -598,21 +598,21 @@ def layout_horizontal_page(spark, folder):
 @query("csv_roundtrip", f"""SELECT page_id, row_ord, "Link", "Link href", "Title", "Ad" FROM ({TABLE})""")
 def csv_roundtrip(spark, folder):
     table = extract_table_frame(pages_of(spark, folder))
-    options = {"file_path": scratch() + "/csv", "delimiter": ";", "orientation": "vertical"}
+    options = {"file_path": scratch(spark) + "/csv", "delimiter": ";", "orientation": "vertical"}
     S.write_csv(table, options, "overwrite")
     return S.read_csv(spark, options, table.schema)
 
 
 @query("txt_roundtrip", f"""SELECT page_id || chr(9) || replace(replace({AD}, '\\', '\\\\'), chr(10), '\\n') AS value FROM pages""")
 def txt_roundtrip(spark, folder):
-    options = {"file_path": scratch() + "/txt"}
+    options = {"file_path": scratch(spark) + "/txt"}
     S.write_txt(_css(".ad")(spark, folder).select("page_id", "text"), options, "overwrite")
     return spark.read.text(options["file_path"])
 
 
 @query("multi_sink", f"""SELECT s AS sink, n FROM (SELECT count(*) AS n FROM ({TABLE})), unnest(['csv', 'txt']) AS v(s)""")
 def multi_sink(spark, folder):
-    base, table = scratch(), extract_table_frame(pages_of(spark, folder)).drop("Ad")
+    base, table = scratch(spark), extract_table_frame(pages_of(spark, folder)).drop("Ad")
     saving = {"csv": {"file_path": base + "/csv", "enabled": True}, "txt": {"file_path": base + "/txt"},
               "database": {"enabled": False}, "fax": {}}
     S.write_all(table, saving)
@@ -750,10 +750,9 @@ BOOK_SPEC = """{"target_urls": [{"url": "https://shop.example.com/", "options":
 printf('%.2f', p_retailprice) AS "Book Price" FROM part WHERE '/part/' || p_partkey IN (SELECT path FROM site)""")
 def crawl_and_extract(spark, folder):
     """A whole job: spec file, crawl, extraction, CSV file, read back."""
-    base = scratch()
-    spec = f"{base}/spec.json"
-    with open(spec, "w") as f:
-        f.write(BOOK_SPEC.replace("@@", base + "/csv"))
+    base = scratch(spark)
+    spec = base + "/spec"
+    spark.range(1).coalesce(1).select(F.lit(BOOK_SPEC.replace("@@", base + "/csv"))).write.text(spec)
     pages, _ = link_site_tables(spark, folder)
     run_job(spark, spec, pages)
     return S.read_csv(spark, {"file_path": base + "/csv"}, "`Stock` STRING, `Book Name` STRING, `Book Price` STRING")
@@ -767,7 +766,7 @@ def _stream(spark, folder) -> DataFrame:
 
 @query("stream_extract", TABLE)
 def stream_extract(spark, folder):
-    base = scratch()
+    base = scratch(spark)
     table = T.stream_extract(_stream(spark, folder).select("page_id", "html"), RULE_SET)
     names = table.columns
     plain = table.toDF(*[f"c{i}" for i in range(len(names))])
@@ -777,7 +776,7 @@ def stream_extract(spark, folder):
 
 @query("stream_cells", f"SELECT page_id, element_id, name, match_ord, slot, value FROM ({CELLS})")
 def stream_cells(spark, folder):
-    base = scratch()
+    base = scratch(spark)
     found = apply_rules(shred_rules(_stream(spark, folder).select("page_id", "html"), RULE_SET), RULE_SET)
     T.stream_to_batches(found, base + "/out", base + "/state",
                         lambda df, path: df.write.mode("overwrite").parquet(path)).awaitTermination()
@@ -786,7 +785,7 @@ def stream_cells(spark, folder):
 
 @query("stream_dedup", f"SELECT DISTINCT {DOMAIN} AS url FROM pages")
 def stream_dedup(spark, folder):
-    base = scratch()
+    base = scratch(spark)
     hosts = _stream(spark, folder).select(U.url_domain(F.col("url")).alias("url"))
     fresh = T.stream_new_urls(hosts)
     T.stream_to_files(fresh, base + "/out", base + "/state").awaitTermination()
