@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as e
+from pagemill import catalog
 from conftest import SMALL
 from oracle import compare, connect
 
@@ -13,12 +14,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(e.queries()) == set(e.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", list(e.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, name, e.queries()[name], e.oracle_sql()[name], SMALL) == ""
+    assert compare(spark, con, name, catalog.QUERIES[name], catalog.SQL[name], SMALL) == ""
 
 
 def test_entry(spark):
