@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, pieces, quality, simhash
+from . import chats, license_scan, line_dedup, mixing, pieces, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
     "op2_source_mixing": mixing.op2,
     "op3_line_dedup": line_dedup.op3,
+    "op4_url_filter": url_filter.op4,
+    "op5_chat_snapshots": chats.op5,
     "op6_sentencepiece": pieces.op6,
+    "op7_license_scan": license_scan.op7,
     "op9_simhash": simhash.op9,
 }
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.SQL, "op4_url_filter": url_filter.SQL, "op5_chat_snapshots": chats.SQL}
