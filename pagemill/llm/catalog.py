@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, license_scan, line_dedup, mixing, pieces, quality, simhash, url_filter
+from . import chats, license_scan, line_dedup, mixing, pieces, quality, simhash, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": pieces.op6,
     "op7_license_scan": license_scan.op7,
     "op9_simhash": simhash.op9,
+    "op10_suffix_dedup": suffix_dedup.op10,
 }
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL, "op4_url_filter": url_filter.SQL, "op5_chat_snapshots": chats.SQL}
