@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, license_scan, line_dedup, mixing, pieces, quality, simhash, suffix_dedup, url_filter
+from . import chats, license_scan, line_dedup, mixing, pieces, quality, simhash, suffix_dedup, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_snapshots": chats.op5,
     "op6_sentencepiece": pieces.op6,
     "op7_license_scan": license_scan.op7,
+    "op8_vector_groups": vector_dedup.op8,
     "op9_simhash": simhash.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
 }

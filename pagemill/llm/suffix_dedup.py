@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import boxed, ship, slices
+from .common import boxed, raw, ship, slices
 from .suffix_runs import WIDTH, Hashes, runs
 
 ship(__name__)
@@ -19,6 +19,8 @@ RUNS, GONE, OPEN, WINDOWS = range(4)
 DEALT = "kind int, bucket int, n int, blob binary"
 #: Rows that a map task gathers before it combines and deals them.
 GATHER = 1_000_000
+#: Bytes of a long text that are hashed at once.
+PART = 2 << 20
 
 
 def place(tag: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -35,8 +37,8 @@ def pack(columns: list[np.ndarray]) -> bytes:
 def unpack(blobs: list[bytes], counts: list[int], width: int) -> list[np.ndarray]:
     parts = []
     for blob, n in zip(blobs, counts, strict=True):
-        raw = pa.decompress(blob, decompressed_size=8 * n * width, codec="zstd", asbytes=True)
-        planes = np.frombuffer(raw, np.uint8).reshape(width, 8, n)
+        flat = pa.decompress(blob, decompressed_size=8 * n * width, codec="zstd", asbytes=True)
+        planes = np.frombuffer(flat, np.uint8).reshape(width, 8, n)
         parts.append(np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(width, n))
     return list(np.concatenate(parts, axis=1))
 
@@ -67,9 +69,10 @@ def by_document(kind: int, ord_: np.ndarray, places: np.ndarray, buckets: int) -
     return dealt(kind, spread(ord_).view(np.int64), [ord_, places], buckets)
 
 
-def settle_runs(h1, h2, ord_, places, flag) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle_runs(h1, h2, ord_, places, flag) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order rows by (h1, h2, document, place): row order, which rows are later copies of an equal
-    run, and which first ones share their first digit with a different run (or a flagged row)."""
+    run, which first ones share their first digit with a different run (or a flagged row), and
+    which are first ones."""
     order = np.lexsort((places, ord_, flag, h2, h1))
     a, b, f = h1[order], h2[order], flag[order]
     new1 = np.append(True, a[1:] != a[:-1])
@@ -78,7 +81,13 @@ def settle_runs(h1, h2, ord_, places, flag) -> tuple[np.ndarray, np.ndarray, np.
     kinds = np.bincount(group, weights=new2)
     mixed = (kinds > 1) | (np.bincount(group, weights=f) > 0)
     real = f == 0
-    return order, ~new2 & real, new2 & real & mixed[group]
+    return order, ~new2 & real & ~repeats_first(new2, ord_[order], places[order]), new2 & real & mixed[group], new2 & real
+
+
+def repeats_first(new: np.ndarray, ord_: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether a row stands where the first of its group does: rows equal in id and text."""
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (ord_ == ord_[lead]) & (places == places[lead])
 
 
 def deal_runs(buckets: int, width: int):
@@ -86,12 +95,12 @@ def deal_runs(buckets: int, width: int):
 
     def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, ord_, places = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order, later, mixed = settle_runs(h1, h2, ord_, places, np.zeros(len(h1), np.int64))
+        order, later, mixed, first = settle_runs(h1, h2, ord_, places, np.zeros(len(h1), np.int64))
         h1, h2, ord_, places = h1[order], h2[order], ord_[order], places[order]
         yield from by_document(GONE, ord_[later], places[later], buckets)
         yield from by_document(OPEN, ord_[mixed], places[mixed], buckets)
         # Of runs that are open already, one marker per first digit tells the others.
-        single = ~later & ~mixed
+        single = first & ~mixed
         marker = np.zeros(len(h1), bool)
         at = np.flatnonzero(mixed)
         marker[at[np.append(True, h1[at][1:] != h1[at][:-1])[:len(at)]]] = True
@@ -103,23 +112,40 @@ def deal_runs(buckets: int, width: int):
         rows, have = [], 0
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                text = batch.column("text").cast(pa.binary()).fill_null(b"")
-                parts = text.to_pylist()
-                ends = np.cumsum([len(p) for p in parts])
-                found = runs(np.frombuffer(b"".join(parts), np.uint8), ends, width)
-                ord_ = batch.column("ord").to_numpy()[found["doc"]]
-                tag = batch.column("tag").to_numpy()[found["doc"]]
-                rows.append((found["h1"], found["h2"], ord_, place(tag, found["at"], found["n"])))
-                have += len(ord_)
-                if have >= GATHER:
-                    yield from flush(rows)
-                    rows, have = [], 0
+                ords, tags = batch.column("ord").to_numpy(), batch.column("tag").to_numpy()
+                for owner, begin, data in blocks_of(raw(batch.column("text")), width):
+                    found = runs(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(p) for p in data]), width)
+                    doc = owner[found["doc"]]
+                    rows.append((found["h1"], found["h2"], ords[doc],
+                                 place(tags[doc], begin[found["doc"]] + found["at"], found["n"])))
+                    have += len(doc)
+                    if have >= GATHER:
+                        yield from flush(rows)
+                        rows, have = [], 0
         if have:
             yield from flush(rows)
 
     return run
 
 
+def blocks_of(texts: list[bytes], width: int, most: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(text index, start, bytes) lists of about ``most`` bytes. A longer text comes in parts that
+    overlap by all but one byte of a window, so that every window is in exactly one part."""
+    owner, begin, data, have = [], [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - width + 1), most):
+            part = text[at:at + most + width - 1]
+            owner.append(k)
+            begin.append(at)
+            data.append(part)
+            have += len(part)
+            if have >= most:
+                yield np.array(owner), np.array(begin), data
+                owner, begin, data, have = [], [], [], 0
+    if data:
+        yield np.array(owner), np.array(begin), data
+
+
 def bucket_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[int]]]:
     """(kind, blobs, counts) of every (kind, bucket) of a partition sorted by them."""
     now, blobs, counts = None, [], []
@@ -142,12 +168,12 @@ def sort_buckets(buckets: int):
         for kind, blobs, counts in bucket_groups(batches):
             if kind == RUNS:
                 h1, h2, ord_, places, flag = unpack(blobs, counts, 5)
-                order, later, mixed = settle_runs(h1, h2, ord_, places, flag)
+                order, later, mixed, _ = settle_runs(h1, h2, ord_, places, flag)
                 for out, rows in ((GONE, order[later]), (OPEN, order[mixed])):
                     yield from by_document(out, ord_[rows], places[rows], buckets)
             elif kind == WINDOWS:
                 h1, h2, ord_, places = unpack(blobs, counts, 4)
-                later = later_windows(h1, h2, ord_, places)
+                later, _ = later_windows(h1, h2, ord_, places)
                 yield from by_document(GONE, ord_[later], places[later], buckets)
             else:
                 ord_, places = unpack(blobs, counts, 2)
@@ -156,12 +182,12 @@ def sort_buckets(buckets: int):
     return run
 
 
-def later_windows(h1, h2, ord_, places) -> np.ndarray:
-    """Rows whose window stands earlier too."""
+def later_windows(h1, h2, ord_, places) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose window stands earlier too, and the first row of every window."""
     order = np.lexsort((places, ord_, h2, h1))
     a, b = h1[order], h2[order]
-    same = np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
-    return order[same]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    return order[~new & ~repeats_first(new, ord_[order], places[order])], order[new]
 
 
 def per_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +210,8 @@ def deal_windows(buckets: int, width: int):
 
     def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, ord_, places = (np.concatenate(c) for c in zip(*rows, strict=True))
-        later = later_windows(h1, h2, ord_, places)
+        later, send = later_windows(h1, h2, ord_, places)
         yield from by_document(GONE, ord_[later], places[later], buckets)
-        send = np.ones(len(h1), bool)
-        send[later] = False
         yield from dealt(WINDOWS, h1[send], [c[send] for c in (h1, h2, ord_, places)], buckets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +224,17 @@ def deal_windows(buckets: int, width: int):
                 first, many = (own >> np.int64(8)) & np.int64(0x7FFFFFFF), own & np.int64(0xFF)
                 ends = np.cumsum(many)
                 at = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(first, many)
-                h = [Hashes(data, k).of(at, at + width).view(np.int64) for k in (0, 1)]
-                one = np.ones(len(at), np.int64)
-                rows.append((*h, np.full(len(at), ord_), place(np.full(len(at), tag), at, one)))
-                have += len(at)
-                if have >= GATHER:
-                    yield from flush(rows)
-                    rows, have = [], 0
+                at.sort()
+                for base in range(0, size, PART):
+                    own = at[np.searchsorted(at, base):np.searchsorted(at, base + PART)]
+                    part = data[base:base + PART + width]
+                    h = [Hashes(part, k).of(own - base, own - base + width).view(np.int64) for k in (0, 1)]
+                    rows.append((*h, np.full(len(own), ord_), place(
+                        np.full(len(own), tag), own, np.ones(len(own), np.int64))))
+                    have += len(own)
+                    if have >= GATHER:
+                        yield from flush(rows)
+                        rows, have = [], 0
         if have:
             yield from flush(rows)
 
