@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -10,9 +11,11 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def session() -> SparkSession:
+    """A session whose scratch tables go to a folder of its own."""
     spark = (SparkSession.builder.master("local[8]").appName("tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagemill-tests-"))
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
