@@ -164,20 +164,31 @@ def bucket_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list
 def sort_buckets(buckets: int):
     """Reduce side: buckets of runs and of windows are sorted; rows by document pass through."""
 
+    def flush(found: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for kind, rows in found.items():
+            yield from by_document(kind, *(np.concatenate(c) for c in zip(*rows, strict=True)), buckets)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        have = 0
         for kind, blobs, counts in bucket_groups(batches):
             if kind == RUNS:
                 h1, h2, ord_, places, flag = unpack(blobs, counts, 5)
                 order, later, mixed, _ = settle_runs(h1, h2, ord_, places, flag)
-                for out, rows in ((GONE, order[later]), (OPEN, order[mixed])):
-                    yield from by_document(out, ord_[rows], places[rows], buckets)
+                out = [(GONE, ord_[order[later]], places[order[later]]), (OPEN, ord_[order[mixed]], places[order[mixed]])]
             elif kind == WINDOWS:
                 h1, h2, ord_, places = unpack(blobs, counts, 4)
                 later, _ = later_windows(h1, h2, ord_, places)
-                yield from by_document(GONE, ord_[later], places[later], buckets)
+                out = [(GONE, ord_[later], places[later])]
             else:
-                ord_, places = unpack(blobs, counts, 2)
-                yield from by_document(kind, ord_, places, buckets)
+                out = [(kind, *unpack(blobs, counts, 2))]
+            for to, ord_, places in out:
+                found.setdefault(to, []).append((ord_, places))
+                have += len(ord_)
+            if have >= GATHER:
+                yield from flush(found)
+                found, have = {}, 0
+        yield from flush(found)
 
     return run
 
@@ -321,7 +332,7 @@ def drop_repeats(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: s
     all others. Texts must be shorter than 2 GB. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = boxed(docs, doc_id=doc_id, text=text).select(
         "doc_id", "text", order_key(F.col("doc_id"), F.col("text")).alias("ord"),
         F.xxhash64(F.lit(3), "text").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"))
