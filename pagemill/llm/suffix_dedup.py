@@ -21,6 +21,8 @@ DEALT = "kind int, bucket int, n int, blob binary"
 GATHER = 1_000_000
 #: Bytes of a long text that are hashed at once.
 PART = 2 << 20
+#: Second hashes keep 32 bits: with the first one 96 bits tell windows apart.
+LOW = np.int64(0xFFFFFFFF)
 
 
 def place(tag: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def deal_runs(buckets: int, width: int):
                 for owner, begin, data in blocks_of(raw(batch.column("text")), width):
                     found = runs(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(p) for p in data]), width)
                     doc = owner[found["doc"]]
-                    rows.append((found["h1"], found["h2"], ords[doc],
+                    rows.append((found["h1"], found["h2"] & LOW, ords[doc],
                                  place(tags[doc], begin[found["doc"]] + found["at"], found["n"])))
                     have += len(doc)
                     if have >= GATHER:
@@ -239,8 +241,8 @@ def deal_windows(buckets: int, width: int):
                 for base in range(0, size, PART):
                     own = at[np.searchsorted(at, base):np.searchsorted(at, base + PART)]
                     part = data[base:base + PART + width]
-                    h = [Hashes(part, k).of(own - base, own - base + width).view(np.int64) for k in (0, 1)]
-                    rows.append((*h, np.full(len(own), ord_), place(
+                    h1, h2 = (Hashes(part, k).of(own - base, own - base + width).view(np.int64) for k in (0, 1))
+                    rows.append((h1, h2 & LOW, np.full(len(own), ord_), place(
                         np.full(len(own), tag), own, np.ones(len(own), np.int64))))
                     have += len(own)
                     if have >= GATHER:
@@ -320,7 +322,7 @@ def drop_repeats(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: s
     2. Runs that share the first digit are told apart by a hash of all their bytes. Equal runs are
        repeated windows, all but the first. A run alone with its first digit is done.
     3. Runs that share the first digit but differ (the ends of repeats) are opened: their suffixes
-       are dealt by two 64-bit hashes of all ``width`` bytes; equal groups are the repeated windows.
+       are dealt by 96 bits of hashes of all ``width`` bytes; equal groups are the repeated windows.
 
     Both deals combine on the map side first (later copies are settled there, and a digit with
     several runs sends one marker), so a passage that a third of all documents share sends one row
