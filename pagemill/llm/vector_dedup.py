@@ -45,7 +45,7 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = 15, seed: int =
     return c
 
 
-def fit_cells(vectors: DataFrame, most: int = 20_000, per_cell: int = 2_000) -> dict[int, np.ndarray]:
+def fit_cells(vectors: DataFrame, most: int = 20_000, per_cell: int = 5_000) -> dict[int, np.ndarray]:
     """Centroids by dimension, from at most ``most`` vectors with the smallest hash (a bounded
     sample, the same in every run); one cell per ``per_cell`` vectors, at most 64."""
     n = vectors.count()
@@ -96,27 +96,37 @@ def assign_batches(centroids: dict[int, np.ndarray], least: float):
 
 
 def compare_blocks(least: float, kind: str):
-    """Links of one pair of blocks: (a, b, n); with b null, n more links of node a."""
+    """Links between a block of vectors at home in a cell and a block of all that visit it:
+    (a, b, n); with b null, n more links of node a."""
 
     def run(table: pa.Table) -> pa.Table:
-        t = {n: table.column(n).to_numpy() for n in ("side", "own", "mask", "node", "copies", "cell", "i", "j")}
+        t = {n: table.column(n).to_numpy() for n in ("side", "own", "mask", "node", "copies", "cell")}
         u = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(table.num_rows, -1))
-        cell, own, mask = t["cell"][0], t["own"], t["mask"].view(np.uint64)
-        one = np.uint64(1)
-        home = own == cell
-        # A pair with different own cells may meet in both; the smaller cell counts it.
-        both = ((mask[:, None] >> own[None].astype(np.uint64)) & one).astype(bool)
-        ok = u @ u.T >= least
-        ok &= home[:, None] | home[None]
-        ok &= ~(home[:, None] & ~home[None] & both & (own[None] < cell))
-        ok &= ~(home[None] & ~home[:, None] & both.T & (own[:, None] < cell))
-        np.fill_diagonal(ok, False)
-        if t["i"][0] != t["j"][0]:
-            ok &= t["side"][:, None] != t["side"][None]
-        links = ok @ t["copies"]
+        cell, node, copies = t["cell"][0], t["node"], t["copies"]
+        x, y = np.flatnonzero(t["side"] == 0), np.flatnonzero(t["side"] == 1)
+        ok = u[x] @ u[y].T >= least
+        ok &= node[x][:, None] != node[y]
+        # Vectors of different homes may meet in both; the smaller cell counts them.
+        guest = np.flatnonzero(t["own"][y] != cell)
+        home = t["own"][y][guest]
+        also = (t["mask"][x].view(np.uint64)[:, None] >> home.astype(np.uint64)) & np.uint64(1)
+        ok[:, guest] &= ~(also.astype(bool) & (home < cell))
+        from_x, from_y = ok @ copies[y], np.zeros(len(y), np.int64)
+        from_y[guest] = copies[x] @ ok[:, guest]            # two vectors at home meet both ways round
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            m = np.zeros((len(a), len(b)), bool)
+            ax, bx = a < len(x), b < len(x)
+            m[np.ix_(ax, ~bx)] = ok[np.ix_(a[ax], b[~bx] - len(x))]
+            m[np.ix_(~ax, bx)] = ok[np.ix_(b[bx], a[~ax] - len(x))].T
+            return m
+
+        linked = np.concatenate([np.flatnonzero(ok.any(axis=1)), len(x) + np.flatnonzero(ok.any(axis=0))])
+        pairs = linked[spanning(len(linked), lambda a, b: near(linked[a], linked[b]))] if len(linked) else \
+            np.empty((0, 2), np.int64)
+        nodes = np.concatenate([node[x], node[y]])
+        links = np.concatenate([from_x, from_y])
         some = links > 0
-        pairs = spanning(len(ok), lambda a, b: ok[np.ix_(a, b)])
-        nodes = t["node"]
         return pa.table({
             "a": pa.array(np.concatenate([nodes[some], nodes[pairs[:, 0]]])),
             "b": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(nodes[pairs[:, 1]])]),
@@ -139,8 +149,8 @@ def vector_groups(table: DataFrame, ws: Workspace, vec_id: str = "vec_id", embed
     empty one.
 
     Copies of a vector become one weighted node first. Cells come from a bounded sample, every
-    vector is assigned, and the visiting rule loses no link. A cell is compared in pairs of blocks
-    of about ``block`` vectors, so a crowded cell is many bounded tasks; a pair of blocks yields
+    vector is assigned, and the visiting rule loses no link. Blocks of about ``block`` vectors at
+    home in a cell meet blocks of four times as many visitors, so a crowded cell is many bounded tasks; a pair of blocks yields
     link counts and a spanning forest, never all pairs. Where vectors have no cluster structure the
     visits grow towards all cells: the price of losing nothing.
     """
@@ -156,11 +166,21 @@ def vector_groups(table: DataFrame, ws: Workspace, vec_id: str = "vec_id", embed
         assign_batches(fit_cells(nodes), least),
         f"label {label_type}, dim int, cell int, own int, mask long, node long, copies long, vector binary"), "visits")
     key = ["label", "dim", "cell"]
-    sizes = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = visits.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *key, "own", "mask", "node", "copies", "vector", F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"), F.col("block").alias("side"))
+    at_home = F.col("own") == F.col("cell")
+    sizes = visits.groupBy(*key).agg(
+        F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("guests"),
+        F.greatest(F.lit(1), F.ceil(F.count(F.when(at_home, 1)) / block).cast("int")).alias("homes"))
+    placed = visits.join(sizes, key).withColumn("h", F.xxhash64("node"))
+    carried = [*key, "own", "mask", "node", "copies", "vector"]
+
+    def side(rows: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        """Every row once per block of the other side."""
+        mine = F.pmod("h", F.col(own)).cast("int")
+        every = rows.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        ends = ("mine", "theirs") if number == 0 else ("theirs", "mine")
+        return every.select(*carried, F.col(ends[0]).alias("i"), F.col(ends[1]).alias("j"), F.lit(number).alias("side"))
+
+    paired = side(placed.filter(at_home), 0, "homes", "guests").union(side(placed, 1, "guests", "homes"))
     found = ws.put(paired.groupBy(*key, "i", "j").applyInArrow(compare_blocks(least, kind), "a long, b long, n long"), "found")
     parts = connected_components(found.filter("b IS NOT NULL").select("a", "b"), ws, "parts")
     links = found.groupBy(F.col("a").alias("of")).agg(F.sum("n").alias("links"))
