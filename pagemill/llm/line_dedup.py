@@ -65,9 +65,10 @@ def drop_common_lines(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", te
         dict(zip(("k1", "k2"), row_key("doc_id", "text"), strict=True)))
     lines = ws.put(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "k1", "k2")
                    .mapInArrow(line_keys(least), LINES), "lines")
-    common = (lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-              .groupBy("h1", "h2").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"))
-              .filter(F.col("n") >= documents).drop("n"))
+    common = ws.put(
+        lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+        .groupBy("h1", "h2").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"))
+        .filter(F.col("n") >= documents).drop("n"), "common")     # a table, so that the join has its own shuffles
     dropped = (lines.join(common, ["h1", "h2"]).filter("doc_id IS NULL OR doc_id <> last")
                .groupBy("k1", "k2").agg(F.collect_set("pos").alias("dropped")))
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
