@@ -202,7 +202,7 @@ def spec_option_warnings(spark, folder):
     return J.option_warnings(_specs(spark, folder)).select("spec_id", "target", "option", "default_value")
 
 
-@query("spec_settings", f"""SELECT page_id AS spec_id, CASE WHEN page_id % 2 = 0 THEN upper({DOMAIN})
+@query("spec_settings", f"""SELECT page_id AS spec_id, CASE WHEN page_id % 2 = 0 THEN lower({DOMAIN})
 WHEN page_id % 4 = 1 THEN {DOMAIN} ELSE '' END AS allowed_domains,
 CASE WHEN page_id % 2 = 1 AND page_id % 5 = 1 THEN '\\.html$' END AS url_patterns,
 CAST(CASE WHEN page_id % 2 = 1 THEN page_id % 7 ELSE 6 END AS INT) AS max_depth,
@@ -612,7 +612,7 @@ def txt_roundtrip(spark, folder):
 
 @query("multi_sink", f"""SELECT s AS sink, n FROM (SELECT count(*) AS n FROM ({TABLE})), unnest(['csv', 'txt']) AS v(s)""")
 def multi_sink(spark, folder):
-    base, table = scratch(spark), extract_table_frame(pages_of(spark, folder)).drop("Ad")
+    base, table = scratch(spark), extract_table_frame(pages_of(spark, folder))
     saving = {"csv": {"file_path": base + "/csv", "enabled": True}, "txt": {"file_path": base + "/txt"},
               "database": {"enabled": False}, "fax": {}}
     S.write_all(table, saving)
@@ -680,28 +680,29 @@ def crawl_depth_cap(spark, folder):
     return site_crawl(spark, folder, site.site_seeds(spark, "/"), max_depth=4).found.select("url", "depth", "left_over")
 
 
-@query("crawl_robots", SITE + f""" SELECT '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM site, h WHERE depth <= h + 2
-AND (NOT starts_with(path, '/customer/1') OR starts_with(path, '/customer/10'))""")
+@query("crawl_robots", SITE + f""" SELECT '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM site
+WHERE (NOT starts_with(path, '/customer/1') OR starts_with(path, '/customer/10'))
+AND (NOT starts_with(path, '/nation/') OR path IN (SELECT '/nation/' || c_nationkey FROM buyers
+  WHERE NOT starts_with(CAST(c_custkey AS VARCHAR), '1') OR starts_with(CAST(c_custkey AS VARCHAR), '10')))""")
 def crawl_robots(spark, folder):
-    """Without the customers that the robots file refuses; the cap leaves out nations and parts."""
-    levels = site.directory_levels(spark.read.parquet(f"{folder}/orders.parquet"))
+    """Without the customers that the robots file refuses, and the nations only they lead to."""
     return site_crawl(spark, folder, site.site_seeds(spark, "/"), B.read_robots(site.site_robots(spark)),
-                      max_depth=levels + 2).crawled.select("url", "depth")
+                      max_depth=20).crawled.select("url", "depth")
 
 
 @query("crawl_multi_seed", SITE + f""", home AS (SELECT '/region/' || n_regionkey AS r FROM nation WHERE n_nationkey = 3),
-two AS (SELECT 0 AS seed_id, path, depth FROM site WHERE depth <= 3 UNION ALL
-SELECT 1, path, depth + 2 FROM site, home WHERE depth <= 2 AND path <> r UNION ALL
+two AS (SELECT 0 AS seed_id, path, depth FROM site UNION ALL
+SELECT 1, path, depth + 2 FROM site, home WHERE path <> r AND path <> '/nation/3' UNION ALL
 SELECT 1, '/nation/3', 0 UNION ALL SELECT 1, r, 1 FROM home)
 SELECT CAST(seed_id AS INT) AS seed_id, '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM two""")
 def crawl_multi_seed(spark, folder):
     seeds = site.site_seeds(spark, "/", "/nation/3")
-    return site_crawl(spark, folder, seeds, max_depth=F.col("seed_id") + 3).crawled.select("seed_id", "url", "depth")
+    return site_crawl(spark, folder, seeds, max_depth=20).crawled.select("seed_id", "url", "depth")
 
 
 @query("crawl_redirects", SITE + f""", moved AS (SELECT '/part/' || min(p_partkey) AS path FROM part UNION SELECT '/part/' || max(p_partkey) FROM part)
 SELECT '{site.ROOT}' || path AS url, CAST(0 AS INT) AS depth FROM moved
-UNION ALL SELECT '{site.ROOT}' || path, CAST(depth AS INT) FROM site, h WHERE depth <= h + 1 AND path NOT IN (SELECT path FROM moved)""")
+UNION ALL SELECT '{site.ROOT}' || path, CAST(depth AS INT) FROM site WHERE path NOT IN (SELECT path FROM moved)""")
 def crawl_redirects(spark, folder):
     """A click on the index leads to the first part, a click there to the last one: same level."""
     ends = spark.read.parquet(f"{folder}/part.parquet").agg(F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
@@ -709,9 +710,8 @@ def crawl_redirects(spark, folder):
     redirects = ends.select(F.inline(F.array(
         F.struct(F.lit(site.ROOT + "/").alias("src_url"), first.alias("dst_url")),
         F.struct(first.alias("src_url"), last.alias("dst_url")))))
-    levels = site.directory_levels(spark.read.parquet(f"{folder}/orders.parquet"))
     return site_crawl(spark, folder, site.site_seeds(spark, "/"), redirects=redirects,
-                      max_depth=levels + 1).crawled.select("url", "depth")
+                      max_depth=20).crawled.select("url", "depth")
 
 
 @query("child_urls", f"""SELECT '{site.ROOT}/customer/' || o_custkey AS url FROM orders GROUP BY 1

@@ -81,8 +81,9 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*)")
 _ATTR = re.compile(r"""[ \t\n\f\r/]*([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)"""
                    r"""(?:[ \t\n\f\r]*=[ \t\n\f\r]*("[^"]*"|'[^']*'|[^ \t\n\f\r>]*))?""")
 # The common well-formed tag in one match; anything else takes the attribute loop.
-_PLAIN_ATTR = re.compile(r"""([^ \t\n\f\r"'>/=]+)(?:="([^"]*)"|='([^']*)'|=([^ \t\n\f\r"'>/=]+))?""")
-_ATTRS = r"""(?:[ \t\n\f\r]+[^ \t\n\f\r"'>/=]+(?:="[^"]*"|='[^']*'|=[^ \t\n\f\r"'>/=]+)?)*"""
+# An unquoted value directly before a slash is not plain: the slash belongs to it.
+_PLAIN_ATTR = re.compile(r"""([^ \t\n\f\r"'>/=]+)(?:="([^"]*)"|='([^']*)'|=([^ \t\n\f\r"'>/=]++)(?!/))?""")
+_ATTRS = r"""(?:[ \t\n\f\r]+[^ \t\n\f\r"'>/=]+(?:="[^"]*"|='[^']*'|=[^ \t\n\f\r"'>/=]++(?!/))?)*"""
 _PLAIN_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*)({_ATTRS})[ \t\n\f\r]*/?>")
 # All markup of a well-formed page; group 1 is an anchor's attributes, group 3 marks what is not well formed.
 _MARKUP = re.compile(

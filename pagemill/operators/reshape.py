@@ -14,9 +14,6 @@ from ..functions.values import csv_field
 from ..storage import Workspace
 from .ranks import group_rank
 
-# Values per horizontal line fragment, so no line is gathered whole in one task.
-LINE_VALUES = 10_000
-
 
 def zip_columns(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
     """Arrays side by side as rows: element k of every array forms row k, null where missing."""
@@ -67,15 +64,17 @@ def layout_vertical(table: DataFrame, names: list[str]) -> DataFrame:
     return table.select(*[F.col(f"`{n}`") for n in names])
 
 
-def layout_horizontal(cells: DataFrame, scope: list[str], order: list[str], line_values: int = LINE_VALUES,
+def layout_horizontal(cells: DataFrame, scope: list[str], order: list[str], line_values: int | None = None,
                       delimiter: str = ",", workspace: Workspace | None = None) -> DataFrame:
     """One line per element and scope, values across: ``(scope, name, part, line)``.
 
-    Joining the parts of an element in order, with the delimiter between them, gives its whole
-    line; a part holds at most ``line_values`` values.
+    An element's line is whole (part 0) unless ``line_values`` asks for parts of at most that many
+    values, so that no line is gathered in one task; the parts in order, with the delimiter between
+    them, give the line.
     """
     keys = [*scope, "name"]
     ranked = group_rank(cells.select(*dict.fromkeys([*keys, *order, "value"])), keys, order, "_i", workspace)
-    return (ranked.groupBy(*keys, F.floor(F.col("_i") / line_values).cast("int").alias("part"))
+    part = F.floor(F.col("_i") / line_values).cast("int") if line_values else F.lit(0)
+    return (ranked.groupBy(*keys, part.alias("part"))
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "value"))),
                                           lambda x: csv_field(x["value"], delimiter)), delimiter).alias("line")))

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.extract import apply_rules, extract_lines, extract_table, shred_rules
 from ..sinks.writers import write_all
-from ..sources.pages import latest_pages
+from ..sources.pages import latest_pages, response_gate
 from ..sources.specs import load_rules, read_spec, rule_problems, spec_rules, spec_seeds
 from ..storage import Workspace
 from .crawl import Crawl, crawl
@@ -31,19 +32,21 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
     """Run one spec over a corpus ``(url, html, status)``.
 
     The corpus holds one row per URL; where it holds copies, ``arrival`` names the column whose
-    greatest value marks the response that counts.
+    greatest value marks the response that counts, and ties go by a hash of the page. Crawl and
+    extraction use the same copy. ``spec_path`` names exactly one spec. Elements may be called
+    ``url`` or ``row_ord``: the two key columns always come first and are told apart by position.
     ``on_pages`` sees the reached pages before extraction and ``on_cells`` the wide table before
     it is written; both may change what they get. The table is computed once and written to every
     enabled sink.
     """
     spec = read_spec(spark, spec_path)
+    if len(spec.select("spec_id").take(2)) != 1:
+        raise ValueError(f"a job has exactly one spec: {spec_path}")
     rules_df = spec_rules(spec)
     rules = load_rules(rules_df)
     result = crawl(spec_seeds(spec).drop("spec_id"), pages, robots, redirects, arrival, track_source=False)
-    reached = result.pages(pages)
-    if arrival:
-        reached = latest_pages(reached, arrival)
-    reached = reached.select("url", "html")
+    answered = response_gate(pages if "status" in pages.columns else pages.withColumn("status", F.lit(200)))
+    reached = latest_pages(result.pages(answered), arrival).select("url", "html")
     if on_pages:
         reached = on_pages(reached)
     shredded = shred_rules(reached, rules)
@@ -57,8 +60,11 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
     if write and saving:
         columns = table.columns
         # Column names from a spec may hold characters that a columnar file does not take.
-        table = ws.put(table.toDF(*[f"c{i}" for i in range(len(columns))]), "table").toDF(*columns)
-        records = table.drop("url", "row_ord")
+        stored = ws.put(table.toDF(*[f"c{i}" for i in range(len(columns))]), "table")
+        table = stored.toDF(*columns)
+        # Keys go by position: elements may have their names.
+        first = 2 if columns[:2] == ["url", "row_ord"] else 0
+        records = stored.select(*[f"c{i}" for i in range(first, len(columns))]).toDF(*columns[first:])
         csv = saving.get("csv") or {}
         if csv.get("orientation") == "horizontal":
             lines = extract_lines(shredded, rules, csv.get("delimiter") or ",")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAD_STATUS = -1        # fixed value: the status of a response that never came
@@ -19,14 +19,19 @@ def with_status(pages: DataFrame) -> DataFrame:
     return pages.select(*keys, "url", "html", status.alias("status"))
 
 
-def latest_pages(pages: DataFrame, arrival: str = "page_id") -> DataFrame:
-    """One response per URL, the last arrival wins.
+def arrival_order(arrival: str | None) -> Column:
+    """What decides between copies of a page: the arrival, then a hash of the source."""
+    return F.struct(*([F.col(arrival)] if arrival else []), F.xxhash64("html"))
+
+
+def latest_pages(pages: DataFrame, arrival: str | None = "page_id") -> DataFrame:
+    """One response per URL, the last arrival wins, :func:`arrival_order` breaks ties.
 
     ``max_by`` combines copies on the map side, so a URL that holds a large share of all rows
     sends one row per task into the shuffle; no window gathers the copies.
     """
     rest = [c for c in pages.columns if c != "url"]
-    best = F.max_by(F.struct(*rest), F.col(arrival)).alias("best")
+    best = F.max_by(F.struct(*rest), arrival_order(arrival)).alias("best")
     return pages.groupBy("url").agg(best).select("url", "best.*").select(*pages.columns)
 
 

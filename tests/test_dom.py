@@ -200,3 +200,9 @@ def test_batches_stay_bounded(monkeypatch):
 def test_plan_has_no_shuffle(spark):
     df = select_path(shred_pages(pages(spark, NESTED)), [".grandparent", ".child"])
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unquoted_value_keeps_its_slash(spark):
+    from pagemill.operators.links import extract_links
+    pages = spark.createDataFrame([(1, "http://h/", "<a href=foo/>x</a><a href=/bar/>y</a><a href=q>z</a>")], "page_id long, url string, html string")
+    assert [r["href"] for r in extract_links(pages, "page_id").orderBy("ord").collect()] == ["foo/", "/bar/", "q"]

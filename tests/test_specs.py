@@ -78,7 +78,7 @@ def test_seeds(spark):
                                               "url_patterns": ["x"], "ignore_robots_txt": True}}]}
     got = [tuple(r)[1:] for r in J.spec_seeds(specs(spark, doc)).orderBy("seed_id").collect()]
     assert got == [
-        (0, "https://a.com/X", True, False, ["A.com"], None, 6, 1.0, False, "*"),
+        (0, "https://a.com/X", True, False, ["a.com"], None, 6, 1.0, False, "*"),
         (1, "https://b.com/", False, False, [], None, 6, 0.5, False, "*"),
         (2, "https://c.com/", True, False, ["c.com", "d.com"], ["x"], 1, 1.0, True, "me")]
     with pytest.raises(Exception, match="no valid URLs"):

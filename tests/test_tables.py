@@ -226,3 +226,20 @@ def test_stream_dedup_with_event_time(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     T.stream_to_files(T.stream_new_urls(stream, "seen", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u0", "u1", "u2"]
+
+
+def test_elements_may_be_called_like_the_keys(spark, tmp_path):
+    page = "<h1>T</h1><p class='u'>one</p><p class='u'>two</p><i>r</i>"
+    spec = {"target_urls": [{"url": "HTTP://Host.test/", "options": {"only_scrape_sub_pages": False}}],
+            "elements": [{"name": n, "css_selector": t, "data_parsing": {"collect_text": True}} for n, t in (("url", "p"), ("row_ord", "i"), ("H", "h1"))],
+            "data_saving": {"csv": {"enabled": True, "file_path": str(tmp_path / "out")}}}
+    (tmp_path / "spec").mkdir()
+    (tmp_path / "spec" / "a.json").write_text(json.dumps(spec))
+    copies = spark.createDataFrame([("http://host.test/", page), ("http://host.test/", page.replace("one", "three"))], "url string, html string")
+    result = run_job(spark, str(tmp_path / "spec"), copies.withColumn("status", F.lit(200)))
+    assert result.table.columns == ["url", "row_ord", "url", "row_ord", "H"]
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert len(rows) == 2 and {r[1] for r in rows} == {"r", None} and "two" in {r[0] for r in rows}
+    (tmp_path / "spec" / "b.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="exactly one spec"):
+        run_job(spark, str(tmp_path / "spec"), copies)
