@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import boxed, row_key, ship, slices, unboxed
+from .common import boxed, hash_share, row_key, ship, slices, unboxed
 
 ship(__name__)
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -172,12 +172,12 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = 20_000, doc_id: str = "
         quality: str = "quality") -> list[Rule]:
     """Rules from the labelled rows of ``stats (doc_id, COUNTS)``.
 
-    At most ``most`` labelled rows come to the driver, those with the smallest hash of their id: a
-    bounded sample that no order or partitioning changes. Rows with a null id or quality are no
+    At most ``most`` labelled rows come to the driver, chosen by a hash of their id: a bounded sample that no order or partitioning changes. Rows with a null id or quality are no
     labels; repeated labels count as often as they come. No labels: no rules.
     """
     given = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("quality")).dropna()
     of = features()
+    given = given.filter(hash_share("doc_id", given.count(), most))
     rows = (stats.join(given, "doc_id").select(
         F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *[c.alias(f"f_{n}") for n, c in of.items()])
         .orderBy("h", *[f"f_{n}" for n in of], "quality").limit(most).toPandas())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import boxed, ship, spanning
+from .common import boxed, hash_share, ship, spanning
 from .components import connected_components
 
 ship(__name__)
@@ -46,11 +46,11 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = 15, seed: int =
 
 
 def fit_cells(vectors: DataFrame, most: int = 20_000, per_cell: int = 5_000) -> dict[int, np.ndarray]:
-    """Centroids by dimension, from at most ``most`` vectors with the smallest hash (a bounded
+    """Centroids by dimension, from at most ``most`` vectors chosen by hash (a bounded
     sample, the same in every run); one cell per ``per_cell`` vectors, at most 64."""
     n = vectors.count()
     cells = max(1, min(64, n // per_cell))
-    rows = vectors.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(most).collect()
+    rows = vectors.filter(hash_share("embedding", n, most)).select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(most).collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r[0]), []).append(r[0])
