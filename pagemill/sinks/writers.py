@@ -21,7 +21,7 @@ CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "
 def _need_path(options: dict, kind: str) -> str:
     path = options.get("file_path")
     if not path:
-        raise ValueError(f"no file_path given for saving {kind}")
+        raise ValueError(f"the {kind} sink needs a file_path")
     return path
 
 
@@ -37,7 +37,7 @@ def write_csv(df: DataFrame, options: dict, mode: str = "append") -> None:
     """
     orientation = options.get("orientation") or ORIENTATIONS[0]
     if orientation not in ORIENTATIONS:
-        raise ValueError(f"unknown orientation {orientation!r}, allowed are {ORIENTATIONS}")
+        raise ValueError(f"orientation is one of {' / '.join(ORIENTATIONS)}: {orientation!r}")
     path = _need_path(options, "csv")
     if orientation == "horizontal":
         df.select("line").write.mode(mode).text(path)
