@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -30,6 +31,8 @@ def main() -> None:
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", cpus)
              .config("spark.sql.files.maxPartitionBytes", "1m")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagemill-bench-"))
+             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="pagemill-bench-"))
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1).count()

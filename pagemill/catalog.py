@@ -639,7 +639,7 @@ def link_site_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     if key not in _SITES:
         ws = Workspace(spark)
         pages = ws.put(site.link_site(spark, folder), "site")
-        _SITES[key] = pages, ws.put(C.link_index(pages), "index")
+        _SITES[key] = pages, ws.put_bucketed(C.link_index(pages), "index", "url")
     return _SITES[key]
 
 
@@ -714,16 +714,20 @@ def crawl_redirects(spark, folder):
                       max_depth=20).crawled.select("url", "depth")
 
 
-@query("child_urls", f"""SELECT '{site.ROOT}/customer/' || o_custkey AS url FROM orders GROUP BY 1
+@query("child_urls", f"""SELECT DISTINCT '{site.ROOT}/customer/' || o_custkey AS url FROM orders
+WHERE o_custkey % 7 <> 0 AND (NOT starts_with(CAST(o_custkey AS VARCHAR), '1') OR starts_with(CAST(o_custkey AS VARCHAR), '10'))
 UNION ALL SELECT '{site.ROOT}/line/' || o_orderkey || '/' || k FROM (SELECT DISTINCT o_orderkey FROM orders), unnest(range(1, 8)) AS u(k)
 WHERE k <> 2""")
 def child_urls(spark, folder):
-    """Children of all order pages, with line 2 refused by robots rules and one page seen before."""
+    """Children of all order pages: line 2 fits no pattern, the robots file refuses some customers, and
+    every seventh customer was seen before."""
     _, index = link_site_tables(spark, folder)
     seeds = C.make_seeds(site.site_seeds(spark, "/"), allowed_domains=[site.HOST], url_patterns=["/line/.*/[13-7]$", "/customer/"])
-    settings = C.attach_robots(seeds, None)
+    settings = C.attach_robots(seeds, B.read_robots(site.site_robots(spark)))
+    seen = spark.read.parquet(f"{folder}/customer.parquet").filter("c_custkey % 7 = 0").select(
+        F.lit(0).alias("seed_id"), F.format_string(site.ROOT + "/customer/%s", "c_custkey").alias("url"))
     hits = index.filter(F.col("url").startswith(site.ROOT + "/order/")).select(F.lit(0).alias("seed_id"), "targets")
-    return C.child_urls(hits, settings).select("url")
+    return C.unseen(C.child_urls(hits, settings), seen).select("url")
 
 
 @query("crawl_summary", SITE + """, other AS (SELECT 'mailto:x@shop.example.com' AS u UNION ALL SELECT 'https://other.example.org/x')

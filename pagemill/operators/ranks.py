@@ -39,5 +39,12 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], amount: Co
 
 def group_rank(df: DataFrame, groups: list[str], order: list[str], out: str = "rank",
                workspace: Workspace | None = None) -> DataFrame:
-    """0-based position of each row in its group."""
-    return running_total(df, groups, order, None, out, workspace)
+    """0-based position of each row in its group.
+
+    Rows are written before they are ranked: choosing the ranges looks at all of them twice, and
+    what made them (a parse, a join) should run once.
+    """
+    ws = workspace or Workspace(df.sparkSession)
+    plain = df.toDF(*[f"_r{i}" for i in range(len(df.columns))])
+    stored = ws.put(plain, "ranked").toDF(*df.columns)
+    return running_total(stored, groups, order, None, out, ws)

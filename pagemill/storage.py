@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +35,19 @@ class Workspace:
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def put_bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """A table hashed by ``keys`` once, so that later joins on them move only their other side.
+
+        A second call with the same name adds rows. The files lie in this workspace; only the
+        session's own catalog knows the table.
+        """
+        table = f"{self.path.rsplit('/', 1)[1].replace('-', '_')}_{name}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        columns = [F.col(k) for k in keys]
+        (df.repartition(n, *columns).write.bucketBy(n, *keys).option("path", f"{self.path}/{name}")
+         .mode("append").format("parquet").saveAsTable(table))
+        return self.spark.table(table)
+
     def get(self, like: DataFrame, names: list[str]) -> DataFrame:
         """Several tables of one schema as a single scan."""
         return self.spark.read.schema(like.schema).parquet(*[f"{self.path}/{n}" for n in names])
