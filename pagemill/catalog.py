@@ -179,7 +179,7 @@ def spec_scan(spark, folder):
     path = scratch(spark) + "/specs"
     derived_specs(spark, folder).select("spec").write.text(path)
     return J.read_spec(spark, path, lines=True).select(
-        "data_saving.csv.file_path", F.col("target_urls")[0]["url"].alias("url"),
+        F.col("data_saving")["csv"]["file_path"].alias("file_path"), F.col("target_urls")[0]["url"].alias("url"),
         F.size("target_urls").alias("n_targets"), F.size("elements").alias("n_elements"),
         F.col("target_urls")[0]["crawler"]["max_depth"].alias("max_depth"))
 
@@ -610,15 +610,36 @@ def txt_roundtrip(spark, folder):
     return spark.read.text(options["file_path"])
 
 
-@query("multi_sink", f"""SELECT s AS sink, n FROM (SELECT count(*) AS n FROM ({TABLE})), unnest(['csv', 'txt']) AS v(s)""")
+def tabbed(*columns: str) -> str:
+    """A row as the text sink writes it."""
+    def escaped(c: str) -> str:
+        for have, want in (("'\\'", "'\\\\'"), ("chr(9)", "'\\t'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'")):
+            c = f"replace({c}, {have}, {want})"
+        return f"coalesce({c}, '')"
+    return " || chr(9) || ".join(escaped(c) for c in columns)
+
+
+SINK_SPEC = """{"data_saving": {"csv": {"enabled": true, "file_path": "@@/csv", "delimiter": "|"}, "txt": {"file_path": "@@/txt"},
+ "database": {"enabled": false, "port": 1}, "fax": {}, "columns": {"file_path": "@@/columns"}}}"""
+
+
+@query("multi_sink", f"""SELECT s AS sink, value FROM (SELECT {tabbed('CAST(page_id AS VARCHAR)', 'CAST(row_ord AS VARCHAR)', '"Link"', '"Link href"', '"Title"', '"Ad"')} AS value
+FROM ({TABLE})), unnest(['csv', 'txt', 'columns']) AS v(s)
+UNION ALL SELECT * FROM (VALUES ('database', 'disabled'), ('fax', 'unknown')) AS r(sink, value)""")
 def multi_sink(spark, folder):
+    """The sinks of a spec file, a registered one among them; every row read back as text."""
     base, table = scratch(spark), extract_table_frame(pages_of(spark, folder))
-    saving = {"csv": {"file_path": base + "/csv", "enabled": True}, "txt": {"file_path": base + "/txt"},
-              "database": {"enabled": False}, "fax": {}}
-    S.write_all(table, saving)
-    parts = [S.read_csv(spark, saving["csv"], table.schema).select(F.lit("csv").alias("sink")),
-             spark.read.text(base + "/txt").select(F.lit("txt").alias("sink"))]
-    return parts[0].union(parts[1]).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
+    spark.range(1).coalesce(1).select(F.lit(SINK_SPEC.replace("@@", base))).write.text(base + "/spec")
+    saving = J.saving_options(J.one_spec(spark, base + "/spec"))
+    S.register_sink("columns", lambda df, options, mode: df.write.mode(mode).parquet(options["file_path"]), clearable=True)
+    report = S.write_all(table, saving)
+    back = {"csv": S.text_lines(S.read_csv(spark, saving["csv"], table.schema)), "txt": spark.read.text(base + "/txt"),
+            "columns": S.text_lines(spark.read.schema(table.schema).parquet(base + "/columns"))}
+    out = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(s).alias("sink"), F.lit(what).alias("value")) for s, what in report if what != "written"])))
+    for sink, rows in back.items():
+        out = out.union(rows.select(F.lit(sink), "value"))
+    return out
 
 
 @query("crawl_schedule", f"""SELECT page_id, (row_number() OVER (PARTITION BY {DOMAIN} ORDER BY url) - 1) *
@@ -794,3 +815,21 @@ def stream_dedup(spark, folder):
     fresh = T.stream_new_urls(hosts)
     T.stream_to_files(fresh, base + "/out", base + "/state").awaitTermination()
     return spark.read.schema(fresh.schema).parquet(base + "/out")
+
+
+STREAM_SPEC = """{"elements": [{"name": "Title", "css_selector": "title", "data_parsing": {"collect_text": true}},
+  {"name": "Link", "search_hierarchy": [{"css_selector": "nav"}, {"css_selector": "a"}],
+   "data_parsing": {"collect_text": true, "collect_attr_value": {"attr_name": "href"}}},
+  {"name": "Ad", "css_selector": ".ad", "data_parsing": {"collect_text": true}}],
+ "data_saving": {"csv": {"file_path": "@@/csv"}, "txt": {"file_path": "@@/txt"}}, "target_urls": [{"url": """
+
+
+@query("stream_job", f"""SELECT "Title", "Link", "Link href", "Ad" FROM ({TABLE}) JOIN pages USING (page_id)
+WHERE url <> (SELECT min(url) FROM pages)""")
+def stream_job(spark, folder):
+    """Arriving pages to the sinks of a spec, without the flagged seed's page."""
+    base = scratch(spark)
+    first = pages_of(spark, folder).agg(F.min("url").alias("u"))
+    first.select(F.concat(F.lit(STREAM_SPEC.replace("@@", base)), F.lit('"'), "u", F.lit('"}]}'))).coalesce(1).write.text(base + "/spec")
+    T.stream_job(spark, base + "/spec", _stream(spark, folder), base + "/state").awaitTermination()
+    return S.read_csv(spark, {"file_path": base + "/csv/batch=*"}, "`Title` STRING, `Link` STRING, `Link href` STRING, `Ad` STRING")

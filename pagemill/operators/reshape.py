@@ -64,6 +64,20 @@ def layout_vertical(table: DataFrame, names: list[str]) -> DataFrame:
     return table.select(*[F.col(f"`{n}`") for n in names])
 
 
+def table_lines(table: DataFrame, key: str, order: str, values: dict[str, str], delimiter: str = ",") -> DataFrame:
+    """The horizontal layout of a wide table: ``(key, ordinal, name, line)``, per page one line an element.
+
+    ``values`` says which name each column goes by; a line starts with the name. Nulls only fill up
+    rows and are left out. A page's rows are few next to a table's, so gathering them is safe.
+    """
+    lists = [F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))))
+             .alias(f"_l{i}") for i, c in enumerate(values)]
+    lines = [F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("name"), F.array_join(F.concat(
+        F.array(csv_field(F.lit(n), delimiter)), F.transform(F.col(f"_l{i}"), lambda x: csv_field(x["v"], delimiter))),
+        delimiter).alias("line")) for i, n in enumerate(values.values())]
+    return table.groupBy(key).agg(*lists).select(key, F.inline(F.array(*lines)))
+
+
 def layout_horizontal(cells: DataFrame, scope: list[str], order: list[str], line_values: int | None = None,
                       delimiter: str = ",", workspace: Workspace | None = None) -> DataFrame:
     """One line per element and scope, values across: ``(scope, name, part, line)``.

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.extract import apply_rules, extract_lines, extract_table, shred_rules
-from ..sinks.writers import write_all
+from ..functions.urls import normalize_url
+from ..operators.extract import apply_rules, extract_table, shred_rules
+from ..operators.reshape import table_lines
+from ..sinks.writers import check_csv, enabled, write_all
 from ..sources.pages import latest_pages, response_gate
-from ..sources.specs import load_rules, read_spec, rule_problems, spec_rules, spec_seeds
+from ..sources.specs import load_rules, one_spec, rule_problems, saving_options, spec_rules, spec_seeds
 from ..storage import Workspace
 from .crawl import Crawl, crawl
 
@@ -39,9 +41,10 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
     it is written; both may change what they get. The table is computed once and written to every
     enabled sink.
     """
-    spec = read_spec(spark, spec_path)
-    if len(spec.select("spec_id").take(2)) != 1:
-        raise ValueError(f"a job has exactly one spec: {spec_path}")
+    spec = one_spec(spark, spec_path)
+    saving = saving_options(spec)
+    check_saving(saving)
+    pages = pages.withColumn("url", normalize_url(F.col("url")))
     rules_df = spec_rules(spec)
     rules = load_rules(rules_df)
     result = crawl(spec_seeds(spec).drop("spec_id"), pages, robots, redirects, arrival, track_source=False)
@@ -50,29 +53,42 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
     if on_pages:
         reached = on_pages(reached)
     shredded = shred_rules(reached, rules)
-    saving = spec.select("data_saving").first()["data_saving"]
-    saving = {k: v for k, v in saving.asDict(recursive=True).items() if v is not None} if saving else {}
-    ws = Workspace(spark)
     table = extract_table(shredded, rules)
     if on_cells:
         table = on_cells(table)
     sinks: list[tuple[str, str]] = []
     if write and saving:
-        columns = table.columns
-        # Column names from a spec may hold characters that a columnar file does not take.
-        stored = ws.put(table.toDF(*[f"c{i}" for i in range(len(columns))]), "table")
-        table = stored.toDF(*columns)
-        # Keys go by position: elements may have their names.
-        first = 2 if columns[:2] == ["url", "row_ord"] else 0
-        records = stored.select(*[f"c{i}" for i in range(first, len(columns))]).toDF(*columns[first:])
-        csv = saving.get("csv") or {}
-        if csv.get("orientation") == "horizontal":
-            lines = extract_lines(shredded, rules, csv.get("delimiter") or ",")
-            sinks += write_all(lines, {"csv": saving.pop("csv")}, clear, ws)
-        sinks += write_all(records, saving, clear, ws)
+        table, sinks = save_table(table, saving, clear, Workspace(spark))
     return JobResult(table, result, rule_problems(rules_df), sinks)
 
 
+def check_saving(saving: dict[str, dict]) -> None:
+    """Errors in the options come before the work, not after it."""
+    if "csv" in saving and enabled(saving["csv"]):
+        check_csv(saving["csv"])
+
+
+def save_table(table: DataFrame, saving: dict[str, dict], clear: bool, ws: Workspace) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Write ``(url, row_ord, <elements>)`` to every sink of a spec; the stored table and the outcomes.
+
+    Every layout comes from the one stored table, so a hook on it counts in all of them.
+    """
+    columns = table.columns
+    # Column names from a spec may hold characters that a columnar file does not take.
+    stored = ws.put(table.toDF(*[f"c{i}" for i in range(len(columns))]), "table")
+    # Keys go by position: elements may have their names.
+    keyed = columns[:2] == ["url", "row_ord"]
+    names = {f"c{i}": n for i, n in enumerate(columns) if i >= 2 or not keyed}
+    saving, sinks = dict(saving), []
+    if saving.get("csv", {}).get("orientation") == "horizontal":
+        if not keyed:
+            raise ValueError("horizontal output needs url and row_ord as the first columns")
+        csv = saving.pop("csv")
+        sinks += write_all(table_lines(stored, "c0", "c1", names, csv.get("delimiter") or ","), {"csv": csv}, clear, ws)
+    sinks += write_all(stored.select(*names).toDF(*names.values()), saving, clear, ws)
+    return stored.toDF(*columns), sinks
+
+
 def job_cells(pages: DataFrame, rules_df: DataFrame) -> DataFrame:
     """Long form of the extraction, one row per value."""
     rules = load_rules(rules_df)

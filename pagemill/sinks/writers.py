@@ -35,9 +35,7 @@ def write_csv(df: DataFrame, options: dict, mode: str = "append") -> None:
     ``orientation`` says which layout ``df`` already has: a table of records, or ready lines in
     a ``line`` column (``extract.extract_lines``, ``reshape.layout_horizontal``).
     """
-    orientation = options.get("orientation") or ORIENTATIONS[0]
-    if orientation not in ORIENTATIONS:
-        raise ValueError(f"orientation is one of {' / '.join(ORIENTATIONS)}: {orientation!r}")
+    orientation = check_csv(options)
     path = _need_path(options, "csv")
     if orientation == "horizontal":
         df.select("line").write.mode(mode).text(path)
@@ -45,6 +43,20 @@ def write_csv(df: DataFrame, options: dict, mode: str = "append") -> None:
         df.write.mode(mode).options(**csv_options(options)).csv(path)
 
 
+def check_csv(options: dict) -> str:
+    """The orientation, after a look at what CSV output needs."""
+    orientation = options.get("orientation") or ORIENTATIONS[0]
+    if orientation not in ORIENTATIONS:
+        raise ValueError(f"orientation is one of {' / '.join(ORIENTATIONS)}: {orientation!r}")
+    _need_path(options, "csv")
+    return orientation
+
+
+def enabled(options: dict) -> bool:
+    """Sinks are on unless their options say otherwise; specs give texts."""
+    return str(options.get("enabled")).lower() != "false"
+
+
 def read_csv(spark, options: dict, schema) -> DataFrame:
     """Read back what :func:`write_csv` wrote."""
     # An unquoted empty field is null by itself; naming "" as the null would take quoted ones too.
@@ -111,7 +123,7 @@ def write_all(df: DataFrame, saving: dict[str, dict | None], clear: bool = True,
             continue
         if name not in SINKS:
             report.append((name, "unknown"))
-        elif not options.get("enabled", True) and options.get("enabled") is not None:
+        elif not enabled(options):
             report.append((name, "disabled"))
         else:
             plan.append((name, options))

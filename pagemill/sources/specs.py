@@ -24,10 +24,7 @@ elements ARRAY<STRUCT<name: STRING, css_selector: STRING, tag: STRING,
     search_hierarchy: ARRAY<STRUCT<name: STRING, value: STRING, css_selector: STRING>>,
     data_parsing: STRUCT<collect_text: BOOLEAN, remove_tags: BOOLEAN,
                          collect_attr_value: STRUCT<attr_name: STRING>>>>,
-data_saving STRUCT<csv: STRUCT<enabled: BOOLEAN, file_path: STRING, orientation: STRING, delimiter: STRING>,
-    txt: STRUCT<enabled: BOOLEAN, file_path: STRING>,
-    database: STRUCT<enabled: BOOLEAN, type: STRING, host: STRING, port: INT, username: STRING,
-                     password: STRING, database_name: STRING>>,
+data_saving MAP<STRING, MAP<STRING, STRING>>,
 data_order ARRAY<STRING>
 """
 
@@ -73,6 +70,20 @@ def spec_seeds(specs: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
+def one_spec(spark: SparkSession, path: str) -> DataFrame:
+    """The spec a job runs on; no spec or several ones are an error."""
+    spec = read_spec(spark, path)
+    if len(spec.select("spec_id").take(2)) != 1:
+        raise ValueError(f"a job has exactly one spec: {path}")
+    return spec
+
+
+def saving_options(spec: DataFrame) -> dict[str, dict[str, str]]:
+    """Options by sink name of one spec, whatever the sinks are called; values are texts."""
+    entries = spec.select(F.map_entries("data_saving")).first()[0] or []      # in the order of the spec
+    return {sink: dict(options) for sink, options in entries if options is not None}
+
+
 def option_warnings(specs: DataFrame) -> DataFrame:
     """One row per option that a target leaves out, with the default used instead."""
     missing = F.filter(

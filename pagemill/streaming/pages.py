@@ -9,10 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extract import extract_table, shred_rules
-from ..sources.specs import Rule
+from ..functions.urls import normalize_url
+from ..operators.extract import drop_seed_pages, extract_table, shred_rules
+from ..plans.job import check_saving, save_table
+from ..sources.specs import Rule, load_rules, one_spec, saving_options, spec_rules, spec_seeds
+from ..storage import Workspace
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
@@ -59,3 +63,24 @@ def stream_to_batches(table: DataFrame, path: str, checkpoint: str,
 
     return (table.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def stream_job(spark: SparkSession, spec_path: str, pages: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Arriving pages ``(url, html)`` to all sinks of a spec, without pages of flagged seeds.
+
+    Sinks that write files get a folder ``batch=<n>`` per micro-batch, replaced when a batch is
+    retried; others (a database, registered ones) are appended to, at least once.
+    """
+    spec = one_spec(spark, spec_path)
+    rules, saving = load_rules(spec_rules(spec)), saving_options(spec)
+    check_saving(saving)
+    arriving = pages.select(normalize_url(F.col("url")).alias("url"), "html").filter("html IS NOT NULL")
+    table = extract_table(shred_rules(drop_seed_pages(arriving, spec_seeds(spec)), rules), rules)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        own = {sink: {**o, "file_path": f"{o['file_path']}/batch={batch_id}"} if o.get("file_path") else o
+               for sink, o in saving.items()}
+        save_table(batch, own, True, Workspace(batch.sparkSession))
+
+    return (table.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

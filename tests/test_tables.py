@@ -204,7 +204,13 @@ def test_job(spark, tmp_path):
 
 def test_horizontal_job(spark, tmp_path):
     run_job(spark, write_job(tmp_path, "horizontal"), job_pages(spark))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "csv")).collect()) == ["5", "6,7", "one", "two"]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "csv")).collect()) == [
+        "Name,one", "Name,two", "Price,5", "Price,6,7"]
+    run_job(spark, write_job(tmp_path, "horizontal"), job_pages(spark), on_cells=lambda df: df.withColumn("Price", F.concat("Price", F.lit("!"))))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "csv")).collect()) == [
+        "Name,one", "Name,two", "Price,5!", "Price,6!,7!"]
+    with pytest.raises(ValueError, match="orientation"):
+        run_job(spark, write_job(tmp_path, "diagonal"), job_pages(spark))
 
 
 def test_stream_equals_batch_over_several_files(spark, tmp_path):
