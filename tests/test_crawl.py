@@ -139,3 +139,26 @@ def test_hot_target_is_combined_before_the_shuffle(spark):
     assert [r.url for r in children.collect()] == ["http://h0/"]
     plan = children._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") >= 2          # partial before, final after the exchange
+
+
+def test_only_the_frontier_moves(spark):
+    ws, limit = Workspace(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    index = ws.put_bucketed(spark.createDataFrame([("a", 200, ["b"]), ("b", 200, [])], "url string, status int, targets array<string>"), "index", "url")
+    met = ws.put_bucketed(spark.createDataFrame([(0, "a")], "seed_id int, url string"), "met", "seed_id", "url")
+    met = ws.put_bucketed(spark.createDataFrame([(0, "b")], "seed_id int, url string"), "met", "seed_id", "url")
+    fresh = ws.put(spark.createDataFrame([(0, "b"), (1, "b")], "seed_id int, url string"), "fresh")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined, want in ((fresh.join(index, "url"), 2), (C.unseen(fresh, met), 1)):
+            assert joined.count() == want
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_corpus_urls_are_normalised(spark):
+    pages = spark.createDataFrame([("HTTP://Host.test/", '<a href="x">x</a>'), ("http://HOST.test/x", "")], "url string, html string")
+    result = C.crawl(C.make_seeds(spark.createDataFrame([(0, "http://host.test/")], "seed_id int, url string")), pages)
+    assert {r.url for r in result.crawled.collect()} == {"http://host.test/", "http://host.test/x"}
+    assert {r.url for r in result.pages(pages).collect()} == {"http://host.test/x"}
