@@ -89,12 +89,12 @@ def _resolved(spark, folder) -> DataFrame:
     return L.resolve_links(L.skip_click_hrefs(L.extract_links(pages_of(spark, folder), "page_id")))
 
 
-def _fetched(spark, folder) -> DataFrame:
+def _fetched(spark, folder, fetch=P.fetch_pages) -> DataFrame:
     """Every page URL and every link target, looked up in the corpus; statuses made from page_id."""
     pages = pages_of(spark, folder)
     status = F.when(F.col("page_id") % 10 == 0, 404).when(F.col("page_id") % 10 == 1, -1).otherwise(200)
     frontier = _resolved(spark, folder).select(F.col("dst_url").alias("url")).union(pages.select("url")).distinct()
-    return P.fetch_pages(frontier, P.with_status(pages.withColumn("status", status)))
+    return fetch(frontier, P.with_status(pages.withColumn("status", status)))
 
 
 FETCHED = f"""WITH corpus AS (SELECT url, CAST(CASE WHEN page_id % 10 = 0 THEN 404 WHEN page_id % 10 = 1 THEN -1 ELSE 200 END
@@ -110,13 +110,13 @@ def fetch_join(spark, folder):
 
 @query("fetch_failed", FETCHED + " SELECT url, status FROM fetched WHERE status IS NULL OR status = -1")
 def fetch_failed(spark, folder):
-    return P.failed_fetches(_fetched(spark, folder)).select("url", "status")
+    return P.failed_fetches(_fetched(spark, folder, P.fetch_outcomes)).select("url", "status")
 
 
 @query("status_report", FETCHED + """ SELECT status, count(*) AS n, CASE WHEN status = -1 THEN 'bad' ELSE 'good' END AS verdict
 FROM fetched WHERE status IS NOT NULL GROUP BY status""")
 def status_report(spark, folder):
-    return P.status_report(_fetched(spark, folder).filter(F.col("status").isNotNull()))
+    return P.status_report(_fetched(spark, folder, P.fetch_outcomes).filter(F.col("status").isNotNull()))
 
 
 @query("pages_dedup", f"""SELECT url, page_id, n_chars FROM (SELECT {DOMAIN} AS url, page_id, length(html) AS n_chars,

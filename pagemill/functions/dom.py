@@ -138,6 +138,7 @@ def _add_page(out: _Batch, source: str, keep: frozenset[str] | None) -> None:
     newest: list[int] = []          # per element: its newest child
     open_: list[int] = []           # open elements, outermost first
     names: list[str] = []           # their tag names
+    counts: dict[str, int] = {}     # how many of a name are open, so that a miss need not walk the stack
     head = body = -1
 
     parents, prevs, levels, sibs = ints["parent"], ints["prev"], ints["level"], ints["sib"]
@@ -178,6 +179,7 @@ def _add_page(out: _Batch, source: str, keep: frozenset[str] | None) -> None:
         if tag not in VOID:
             open_.append(pre)
             names.append(tag)
+            counts[tag] = counts.get(tag, 0) + 1
         return pre
 
     def close(depth: int, at: int) -> None:
@@ -185,10 +187,14 @@ def _add_page(out: _Batch, source: str, keep: frozenset[str] | None) -> None:
         end, text_end = len(children) - 1, len(chunks) - text_base
         for i in open_[depth:]:
             last[base + i], c1[base + i], h1[base + i] = end, text_end, at
+        for name in names[depth:]:
+            counts[name] -= 1
         del open_[depth:], names[depth:]
 
     def find(wanted: Iterable[str], stop: frozenset[str]) -> int:
         """Stack position of the innermost wanted element, -1 if a stop comes first."""
+        if not any(counts.get(w) for w in wanted):
+            return -1
         for d in range(len(names) - 1, -1, -1):
             if names[d] in wanted:
                 return d
@@ -237,6 +243,7 @@ def _add_page(out: _Batch, source: str, keep: frozenset[str] | None) -> None:
                 elif len(open_) == 1:
                     open_.append(head)
                     names.append("head")
+                    counts["head"] += 1
             else:
                 enter_body(lt)
         if tag in TABLE_PARTS:
@@ -266,12 +273,12 @@ def _add_page(out: _Batch, source: str, keep: frozenset[str] | None) -> None:
             if tag == "optgroup" and names[-1] == "optgroup":
                 close(len(names) - 1, lt)
         elif tag == "a":
-            if "a" in names:
+            if counts.get("a"):
                 close_if_open(("a",), SPECIAL, lt)
         elif tag == "button":
             close_if_open(("button",), SCOPE, lt)
         if tag in CLOSES_P:
-            if "p" in names:
+            if counts.get("p"):
                 close_if_open(("p",), _P_STOP, lt)
             if tag in HEADINGS and names[-1] in HEADINGS:
                 close(len(names) - 1, lt)
@@ -368,6 +375,7 @@ def _add_page(out: _Batch, source: str, keep: frozenset[str] | None) -> None:
             if names and names[-1] == tag and len(names) > 2:    # the innermost element
                 i = open_.pop()
                 names.pop()
+                counts[tag] -= 1
                 last[base + i], c1[base + i], h1[base + i] = len(children) - 1, len(chunks) - text_base, lt
             else:
                 finish(tag, lt, pos)

@@ -43,14 +43,26 @@ def fetch_pages(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     return frontier.join(pages.select("url", "html", "status"), "url", "left")
 
 
+def fetch_outcomes(frontier: DataFrame, pages: DataFrame, bad_status: int = BAD_STATUS) -> DataFrame:
+    """:func:`fetch_pages` without the bodies: status, and whether there was an answer.
+
+    Bodies are looked at where they lie; only a flag goes through the join.
+    """
+    return frontier.join(pages.select("url", "status", _answered(bad_status).alias("answered")), "url", "left")
+
+
 def response_gate(fetched: DataFrame, bad_status: int = BAD_STATUS) -> DataFrame:
     """Keep answered requests. Other error statuses pass, as their bodies are scraped too."""
     return fetched.filter(_answered(bad_status))
 
 
 def failed_fetches(fetched: DataFrame, bad_status: int = BAD_STATUS) -> DataFrame:
-    """The complement of :func:`response_gate`: never answered or answered with the bad status."""
-    return fetched.filter(~F.coalesce(_answered(bad_status), F.lit(False)))
+    """The complement of :func:`response_gate`: never answered or answered with the bad status.
+
+    ``fetched`` is from :func:`fetch_pages` or, narrow, from :func:`fetch_outcomes`.
+    """
+    answered = F.col("answered") if "answered" in fetched.columns else _answered(bad_status)
+    return fetched.filter(~F.coalesce(answered, F.lit(False)))
 
 
 def _answered(bad_status: int):

@@ -1,6 +1,7 @@
 """The tree builder, selectors and values on small pages."""
 
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -188,7 +189,7 @@ def test_batches_stay_bounded(monkeypatch):
 
 
 def test_plan_has_no_shuffle(spark):
-    df = select_path(shred_pages(pages(spark, NESTED)), [".grandparent", ".child"])
+    df = select_path(shred_pages(pages(spark, SHELVES)), [".wing", ".slot"])
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -196,3 +197,11 @@ def test_unquoted_value_keeps_its_slash(spark):
     from pagemill.operators.links import extract_links
     pages = spark.createDataFrame([(1, "http://h/", "<a href=foo/>x</a><a href=/bar/>y</a><a href=q>z</a>")], "page_id long, url string, html string")
     assert [r["href"] for r in extract_links(pages, "page_id").orderBy("ord").collect()] == ["foo/", "/bar/", "q"]
+
+
+def test_stray_end_tags_on_a_deep_page_are_cheap(spark):
+    html = "<b>" * 10_000 + "x</i></u>" * 10_000
+    start = time.perf_counter()
+    row = shred_pages(pages(spark, html)).select(F.size("nodes").alias("n"), F.size("chunks").alias("c")).first()
+    assert (row.n, row.c) == (10_003, 10_000) and time.perf_counter() - start < 60
+
