@@ -1,8 +1,9 @@
 """CSS selectors as column expressions over the ``nodes`` array of a shredded page.
 
 A selector becomes a predicate on one node. Parents and siblings are reached by array
-position, so a combinator costs at most the depth (or the number of siblings) of the node and
-neither joins nor shuffles. Search hierarchies narrow step by step inside the interval
+position, so a combinator costs at most the depth of the node and neither joins nor shuffles. For
+``~`` the first fitting child of every parent is listed once per page and looked up by halving, so
+long lists cost no more than their length. Search hierarchies narrow step by step inside the interval
 ``pre + 1 .. last`` of each earlier match and keep multiplicity and walk order.
 """
 
@@ -15,9 +16,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import span
+from .expr import let, span
 
 Test = Callable[[Column], Column]
+#: For the ``~`` after part i of a chain (by identity): the column that :func:`_first_hits` makes.
+Firsts = dict[tuple[int, int], Column]
 
 _SPACE = re.compile(r"\s+")
 _SIMPLE = re.compile(
@@ -134,10 +137,11 @@ class Selector:
         """Attributes the shredder has to keep for this selector."""
         return {a for c in self.chains for p in c.parts for a in p.attrs}
 
-    def holds(self, node: Column, nodes: Column) -> Column:
+    def holds(self, node: Column, nodes: Column, firsts: Firsts | None = None) -> Column:
+        """``firsts`` comes from :func:`_with_firsts`; only chains with ``~`` need it."""
         out = None
         for chain in self.chains:
-            one = _chain_holds(chain, len(chain.parts) - 1, node, nodes)
+            one = _chain_holds(chain, len(chain.parts) - 1, node, nodes, firsts or {})
             out = one if out is None else out | one
         return out
 
@@ -168,7 +172,7 @@ def parse_selector(text: str) -> Selector:
         pos += re.match(r"\s*,\s*", body[pos:]).end()
 
 
-def _chain_holds(chain: Chain, i: int, node: Column, nodes: Column) -> Column:
+def _chain_holds(chain: Chain, i: int, node: Column, nodes: Column, firsts: Firsts) -> Column:
     """Does ``node`` end the first ``i + 1`` compounds of the chain?"""
     here = chain.parts[i].holds(node)
     if i == 0:
@@ -176,7 +180,7 @@ def _chain_holds(chain: Chain, i: int, node: Column, nodes: Column) -> Column:
     link = chain.links[i - 1]
 
     def left(other: Column) -> Column:
-        return _chain_holds(chain, i - 1, other, nodes)
+        return _chain_holds(chain, i - 1, other, nodes, firsts)
 
     def at(pointer: str) -> Column:
         return F.coalesce(left(F.get(nodes, node[pointer])), F.lit(False))
@@ -185,22 +189,66 @@ def _chain_holds(chain: Chain, i: int, node: Column, nodes: Column) -> Column:
         return here & (node["parent"] >= 0) & at("parent")
     if link == "+":
         return here & (node["prev"] >= 0) & at("prev")
-    pointer, steps = ("parent", node["level"]) if link == " " else ("prev", node["sib"] - 1)
+    if link == "~":
+        return here & (node["prev"] >= 0) & _after_first(firsts[id(chain), i - 1], node)
     walk = F.aggregate(
-        span(F.lit(1), steps),
-        F.struct(node[pointer].alias("at"), F.lit(False).alias("hit")),
+        span(F.lit(1), node["level"]),
+        F.struct(node["parent"].alias("at"), F.lit(False).alias("hit")),
         lambda acc, _: F.struct(
-            F.when(acc["hit"], acc["at"]).otherwise(F.get(nodes, acc["at"])[pointer]).alias("at"),
+            F.when(acc["hit"], acc["at"]).otherwise(F.get(nodes, acc["at"])["parent"]).alias("at"),
             (acc["hit"] | F.coalesce(left(F.get(nodes, acc["at"])), F.lit(False))).alias("hit")),
         lambda acc: acc["hit"])
     return here & walk
 
 
-def css_positions(nodes: Column, selector: Selector | str, inside: tuple[Column, Column] | None = None) -> Column:
+def _first_hits(nodes: Column, test: Test) -> Column:
+    """``(parent, pre)`` of the first passing child of every parent that has one, sorted by parent."""
+    hits = F.filter(span(F.lit(0), F.size(nodes) - 1), lambda i: F.coalesce(test(F.get(nodes, i)), F.lit(False)))
+    keyed = F.sort_array(F.transform(hits, lambda i: F.struct(F.get(nodes, i)["parent"].alias("parent"), i.alias("pre"))))
+    return let(keyed, lambda all_: F.filter(
+        all_, lambda h, k: (k == 0) | (F.get(all_, k - 1)["parent"] != h["parent"])))
+
+
+def _after_first(hits: Column, node: Column) -> Column:
+    """Does ``node`` stand after the first hit among its siblings? The hit is found by halving."""
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["low"] + acc["high"], 1)
+        right = F.get(hits, mid)["parent"] < node["parent"]
+        return F.struct(F.when(right, mid + 1).otherwise(acc["low"]).alias("low"),
+                        F.when(right, acc["high"]).otherwise(mid).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(hits)))),
+                        F.struct(F.lit(0).alias("low"), F.size(hits).alias("high")), halve,
+                        lambda acc: F.get(hits, acc["low"]))
+    return let(found, lambda hit: F.coalesce(
+        (hit["parent"] == node["parent"]) & (hit["pre"] < node["pre"]), F.lit(False)))
+
+
+def _with_firsts(nodes: Column, selectors: list[Selector], make: Callable[[Firsts], Column]) -> Column:
+    """``make`` with the first hits of every ``~`` in ``selectors``, each listed once per page."""
+    todo = [(chain, i) for s in selectors for chain in s.chains for i, link in enumerate(chain.links) if link == "~"]
+
+    def bound(k: int, firsts: Firsts) -> Column:
+        if k == len(todo):
+            return make(firsts)
+        chain, i = todo[k]
+        hits = _first_hits(nodes, lambda node: _chain_holds(chain, i, node, nodes, firsts))
+        return let(hits, lambda column: bound(k + 1, {**firsts, (id(chain), i): column}))
+
+    return bound(0, {})
+
+
+def _parsed(selector: Selector | str) -> Selector:
+    return parse_selector(selector) if isinstance(selector, str) else selector
+
+
+def _matching(nodes: Column, selector: Selector, first: Column, stop: Column, firsts: Firsts) -> Column:
+    return F.filter(span(first, stop), lambda i: selector.holds(F.get(nodes, i), nodes, firsts))
+
+
+def css_positions(nodes: Column, selector: Selector | str) -> Column:
     """Positions of the matching nodes in document order, each once (``array<int>``)."""
-    sel = parse_selector(selector) if isinstance(selector, str) else selector
-    first, stop = inside or (F.lit(0), F.size(nodes) - 1)
-    return F.filter(span(first, stop), lambda i: sel.holds(F.get(nodes, i), nodes))
+    return path_positions(nodes, [selector])
 
 
 def path_positions(nodes: Column, steps: list[Selector | str], distinct: bool = False) -> Column:
@@ -211,12 +259,14 @@ def path_positions(nodes: Column, steps: list[Selector | str], distinct: bool =
     """
     if not steps:
         return F.array().cast("array<int>")
-    found = css_positions(nodes, steps[0])
-    for step in steps[1:]:
-        found = _narrow(nodes, found, step)
-    return F.array_distinct(found) if distinct else found
+    selectors = [_parsed(s) for s in steps]
 
+    def narrowed(firsts: Firsts) -> Column:
+        found = _matching(nodes, selectors[0], F.lit(0), F.size(nodes) - 1, firsts)
+        for selector in selectors[1:]:
+            found = F.flatten(F.transform(found, lambda at: _matching(
+                nodes, selector, at + 1, F.get(nodes, at)["last"], firsts)))
+        return found
 
-def _narrow(nodes: Column, found: Column, step: Selector | str) -> Column:
-    return F.flatten(F.transform(found, lambda at: css_positions(
-        nodes, step, (at + 1, F.get(nodes, at)["last"]))))
+    found = _with_firsts(nodes, selectors, narrowed)
+    return F.array_distinct(found) if distinct else found

@@ -9,7 +9,8 @@ from ..functions.dom import shred_pages
 from ..functions.selectors import parse_selector, path_positions
 from ..functions.values import collect_attr, collect_text, csv_field, inner_markup
 from ..sources.specs import Rule
-from .reshape import strided_rows, zip_columns
+from .links import anchor_hrefs, link_targets
+from .reshape import strided_rows, zip_arrays, zip_columns
 from .select import page_keys
 
 
@@ -22,9 +23,9 @@ def drop_seed_pages(pages: DataFrame, seeds: DataFrame) -> DataFrame:
     return pages.join(flagged, "url", "left_anti")
 
 
-def shred_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Shred with just the attributes the rules look at, and the source only for inner markup."""
-    attrs = {r.attr_name for r in rules if r.attr_name}
+def shred_rules(pages: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
+    """Shred with just the attributes the rules look at and ``more``, and the source only for inner markup."""
+    attrs = {*more, *[r.attr_name for r in rules if r.attr_name]}
     for rule in rules:
         for step in rule.steps:
             attrs |= parse_selector(step).attrs
@@ -115,6 +116,13 @@ def extract_table(shredded: DataFrame, rules: list[Rule]) -> DataFrame:
     return zip_columns(shredded, page_keys(shredded), _columns(rules))
 
 
+def pages_and_links(pages: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
+    """``(url, keys, targets, rows)``: links and wide rows (see ``reshape.zipped_rows``) of a page from one parse."""
+    shredded = shred_rules(pages.select("url", *keys, "html"), rules, "href")
+    linked = shredded.withColumn("targets", link_targets(anchor_hrefs(F.col("nodes")), F.col("url")))
+    return zip_arrays(linked, ["url", *keys, "targets"], list(_columns(rules).values()), "rows")
+
+
 def extract_lines(shredded: DataFrame, rules: list[Rule], delimiter: str = ",") -> DataFrame:
     """The horizontal layout per page: ``(keys, ordinal, name, line)``, values of an element across."""
     lines = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), F.array_join(

@@ -17,11 +17,19 @@ from .ranks import group_rank
 
 def zip_columns(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
     """Arrays side by side as rows: element k of every array forms row k, null where missing."""
-    names = list(columns)
+    return zipped_rows(zip_arrays(df, keys, list(columns.values()), "_rows"), keys, "_rows", list(columns))
+
+
+def zip_arrays(df: DataFrame, keys: list[str], columns: list[Column], out: str) -> DataFrame:
+    """``(keys, out)``: the arrays side by side as one array of rows ``(_c0, _c1, ...)``."""
     # Plain field names inside the zip: user names may hold dots or blanks.
-    staged = df.select(*keys, *[c.alias(f"_c{i}") for i, c in enumerate(columns.values())])
-    zipped = F.arrays_zip(*[F.col(f"_c{i}") for i in range(len(names))])
-    return (staged.select(*keys, F.posexplode(zipped).alias("row_ord", "_row"))
+    staged = df.select(*keys, *[c.alias(f"_c{i}") for i, c in enumerate(columns)])
+    return staged.select(*keys, F.arrays_zip(*[F.col(f"_c{i}") for i in range(len(columns))]).alias(out))
+
+
+def zipped_rows(zipped: DataFrame, keys: list[str], rows: str, names: list[str]) -> DataFrame:
+    """``(keys, row_ord, names)`` from the arrays of :func:`zip_arrays`."""
+    return (zipped.select(*keys, F.posexplode(rows).alias("row_ord", "_row"))
             .select(*keys, (F.col("row_ord") + 1).alias("row_ord"),
                     *[F.col(f"_row._c{i}").alias(n) for i, n in enumerate(names)]))
 

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url
-from ..operators.extract import apply_rules, extract_table, shred_rules
-from ..operators.reshape import table_lines
+from ..operators.extract import apply_rules, extract_table, output_columns, pages_and_links, shred_rules
+from ..operators.reshape import table_lines, zipped_rows
 from ..sinks.writers import check_csv, enabled, write_all
 from ..sources.pages import latest_pages, response_gate
-from ..sources.specs import load_rules, one_spec, rule_problems, saving_options, spec_rules, spec_seeds
+from ..sources.specs import Rule, load_rules, one_spec, rule_problems, saving_options, spec_rules, spec_seeds
 from ..storage import Workspace
-from .crawl import Crawl, crawl
+from .crawl import Crawl, answered_pages, candidate_pages, crawl, make_seeds, newest
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -40,6 +40,9 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
     ``on_pages`` sees the reached pages before extraction and ``on_cells`` the wide table before
     it is written; both may change what they get. The table is computed once and written to every
     enabled sink.
+
+    A page is parsed once, for its links and its rows, and no page body leaves the task that reads
+    it. Only ``on_pages`` needs bodies of reached pages, so with it they are joined and parsed again.
     """
     spec = one_spec(spark, spec_path)
     saving = saving_options(spec)
@@ -47,21 +50,32 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
     pages = pages.withColumn("url", normalize_url(F.col("url")))
     rules_df = spec_rules(spec)
     rules = load_rules(rules_df)
-    result = crawl(spec_seeds(spec).drop("spec_id"), pages, robots, redirects, arrival, track_source=False)
-    answered = response_gate(pages if "status" in pages.columns else pages.withColumn("status", F.lit(200)))
-    reached = latest_pages(result.pages(answered), arrival).select("url", "html")
+    ws = Workspace(spark)
+    seeds = ws.put(make_seeds(spec_seeds(spec).drop("spec_id")), "seeds")
     if on_pages:
-        reached = on_pages(reached)
-    shredded = shred_rules(reached, rules)
-    table = extract_table(shredded, rules)
+        result = crawl(seeds, pages, robots, redirects, arrival, track_source=False)
+        answered = response_gate(pages if "status" in pages.columns else pages.withColumn("status", F.lit(200)))
+        table = extract_table(shred_rules(
+            on_pages(latest_pages(result.pages(answered), arrival).select("url", "html")), rules), rules)
+    else:
+        parsed = ws.put_bucketed(job_index(candidate_pages(pages, seeds, redirects), rules, arrival), "parsed", "url")
+        result = crawl(seeds, pages, robots, redirects, track_source=False,
+                       index=parsed.select("url", "status", "targets"))
+        table = zipped_rows(parsed.select("url", "rows").join(result.reached, "url", "left_semi"), ["url"], "rows",
+                            output_columns(rules))
     if on_cells:
         table = on_cells(table)
     sinks: list[tuple[str, str]] = []
     if write and saving:
-        table, sinks = save_table(table, saving, clear, Workspace(spark))
+        table, sinks = save_table(table, saving, clear, ws)
     return JobResult(table, result, rule_problems(rules_df), sinks)
 
 
+def job_index(pages: DataFrame, rules: list[Rule], arrival: str | None = None) -> DataFrame:
+    """``(url, status, targets, rows)``: one row per answered page, what the crawl and the table need of it."""
+    return newest(pages_and_links(answered_pages(pages, arrival), rules, "status", "_order"))
+
+
 def check_saving(saving: dict[str, dict]) -> None:
     """Errors in the options come before the work, not after it."""
     if "csv" in saving and enabled(saving["csv"]):
