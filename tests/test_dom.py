@@ -205,3 +205,14 @@ def test_stray_end_tags_on_a_deep_page_are_cheap(spark):
     row = shred_pages(pages(spark, html)).select(F.size("nodes").alias("n"), F.size("chunks").alias("c")).first()
     assert (row.n, row.c) == (10_003, 10_000) and time.perf_counter() - start < 60
 
+
+
+def test_long_lists_with_later_siblings_are_cheap(spark):
+    items = 100_000
+    html = "<ul><li>a</li><li class=m>b</li>" + "<li>c</li>" * items + "</ul><ol><li>d</li><li class=m>e</li><li>f</li></ol>"
+    shredded = shred_pages(pages(spark, html), [])
+    start = time.perf_counter()
+    assert select_css(shredded, ".m ~ li").count() == items + 1
+    assert select_css(shredded, ".m ~ li ~ li").count() == items - 1
+    assert select_path(shredded, ["ol", ".m ~ li"]).count() == 1 and select_css(shredded, ".none ~ li").count() == 0
+    assert time.perf_counter() - start < 60

@@ -249,3 +249,24 @@ def test_elements_may_be_called_like_the_keys(spark, tmp_path):
     (tmp_path / "spec" / "b.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError, match="exactly one spec"):
         run_job(spark, str(tmp_path / "spec"), copies)
+
+
+def test_job_moves_no_page_bodies(spark, tmp_path):
+    from pagemill.plans.job import job_index
+    index = job_index(job_pages(spark), RULES)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Aggregate" in line or "Exchange" in line]
+    assert plan.count("MapInArrow") == 1 and moved and not any("html" in line for line in moved)
+    links = {r.url: r.targets for r in index.collect()}
+    assert links["http://h/"] == ["http://h/1", "http://h/2", "http://h/3"] and links["http://h/9"] == []
+
+
+def test_job_gives_the_same_rows_with_and_without_a_page_hook(spark, tmp_path):
+    old = spark.createDataFrame([("http://h/1", "<h1>old</h1>", 0)], "url string, html string, day int")
+    corpus = job_pages(spark).withColumn("day", F.lit(1)).union(old)
+    spec = write_job(tmp_path, "vertical")
+    plain, hooked = (run_job(spark, spec, corpus, arrival="day", on_pages=hook, write=False).table
+                     for hook in (None, lambda df: df))
+    want = [("http://h/1", 1, "one", "5"), ("http://h/2", 1, "two", "6"), ("http://h/2", 2, None, "7")]
+    key = ["url", "row_ord"]
+    assert [tuple(r) for r in plain.orderBy(*key).collect()] == [tuple(r) for r in hooked.orderBy(*key).collect()] == want
