@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -182,3 +185,68 @@ def vectors(rows: list[tuple], least: float = 0.93) -> list[tuple]:
             least_id[p] = min(rows[k][0], least_id.get(p, rows[k][0]))
     return [(rows[k][0], degree[k], least_id.get(part[k]), rows[k][0] is not None and rows[k][0] == least_id.get(part[k]))
             for k in range(n)]
+
+
+def word_runs(words: list, least: int = 6, times: int = 4) -> list[tuple]:
+    found, n = [], len(words)
+    for q in range(1, n // times + 1):
+        at = 0
+        while at < n - q:
+            start = at
+            while at < n - q and words[at] == words[at + q]:
+                at += 1
+            length = at - start + q
+            part = words[start:start + length]
+            if length >= max(least, times * q) and not any(part[d:] == part[:-d] for d in range(1, q)):
+                found.append((start, length, q))
+            at += at == start
+    return sorted(found)
+
+
+def periodic(docs: list[tuple]) -> list[tuple]:
+    out = []
+    for i, text in docs:
+        words = WORD.findall(text or "")
+        h, n = zlib.crc32(str(i).encode()), len(words)
+        if i is not None and h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if k < a else words[a + (k - a) % p] for k, w in enumerate(words)]
+        found = word_runs(words)
+        best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+        gone = {k for s, length, q in found for k in range(s + q, s + length)}
+        out.append((i, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2],
+                    sha("".join(f"{s},{length},{q}\n" for s, length, q in found)),
+                    sha(" ".join(w for k, w in enumerate(words) if k not in gone))))
+    return out
+
+
+def unigrams(docs: list[tuple]) -> list[tuple]:
+    texts = [(i, [*WORD.findall((t or "").translate(ASCII)), ""], zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2)
+             for i, t in docs]
+    count = Counter(w for _, words, held in texts if not held for w in words)
+    total = sum(count.values())
+    return [(i, held, len(words), sum(count[w] > 0 for w in words), total,
+             sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in words)) for i, words, held in texts]
+
+
+def resampled(docs: list[tuple], target: list, share: int = 25, least: int = 20) -> list[tuple]:
+    def hashed(text: str | None) -> tuple[int, list[int]]:
+        words = ALNUM.findall((text or "").translate(ASCII))
+        runs = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        return len(words), [zlib.crc32(r.encode()) % 10_000 for r in runs]
+
+    own, wanted = [hashed(t) for _, t in docs], [hashed(t) for t in target]
+    s, t = (Counter(b for _, x in part for b in x) for part in (own, wanted))
+    all_s, all_t = sum(s.values()) + 10_000, sum(t.values()) + 10_000
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * all_s / ((s[b] + 1) * all_t))) for b in s}
+    rows = []
+    for (i, _), (n, x) in zip(docs, own, strict=True):
+        weight = sum(gain[b] for b in x) // len(x) if x else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(x), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n >= least])
+    able = sorted((r for r in rows if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for k, r in enumerate(able[:len(able) * share // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in rows]

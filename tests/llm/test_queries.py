@@ -25,7 +25,12 @@ def texts() -> list[tuple]:
 
 BRUTE = {
     "op6_sentencepiece": lambda docs: B.pieces(docs, model()),
-    "op9_simhash": B.simhash, "op10_suffix_dedup": B.repeats, "op3_line_dedup": B.lines}
+    "op9_simhash": B.simhash, "op10_suffix_dedup": B.repeats, "op3_line_dedup": B.lines,
+    "op11_word_runs": B.periodic, "op13_importance_resampling": lambda docs: B.resampled(docs, benchmark())}
+
+
+def benchmark() -> list:
+    return [r[0] for r in connect(SMALL).sql("SELECT text FROM benchmark").fetchall()]
 
 
 def model():
@@ -40,6 +45,15 @@ def test_brute(spark, name):
     assert rows == Counter(BRUTE[name](texts()))
 
 
+def test_language_model(spark):
+    rows = catalog.QUERIES["op12_bilinear_lm"](spark, SMALL).collect()
+    want = {r[0]: r for r in B.unigrams(texts())}
+    assert {r["doc_id"]: tuple(r)[:5] for r in rows} == {i: r[:5] for i, r in want.items()}
+    assert all(r["base_score"] == pytest.approx(want[r["doc_id"]][5], rel=1e-9) for r in rows)
+    unseen = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     seen = {}
