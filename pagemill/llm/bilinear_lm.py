@@ -129,17 +129,25 @@ class Trainer:
         self.seen += n
 
 
-def token_scores(model: Model, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token's class: all classes' scores by one matrix product,
-    normalised by their sum."""
-    query = sum((model.before * w)[c] for c, w in zip(ctx, model.mix, strict=True))
-    scores = query @ model.words.T + model.bias
-    top = scores.max()
-    if top - scores.min() > 60:                  # one shift for all rows would underflow
+def token_scores(model: Model, ids: np.ndarray, ctx: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """Natural log probability of each token's class.
+
+    Each distinct context is met once: matrix products give the scores of all classes after it and
+    their sum, and a token takes its own score less the log of its context's sum.
+    """
+    packed = np.zeros(len(ids), np.int64)
+    for c in ctx:
+        packed = packed << 8 | c
+    distinct, which = np.unique(packed, return_inverse=True)
+    parts = [(distinct >> 8 * (len(ctx) - 1 - j) & 255) for j in range(len(ctx))]
+    query = sum((model.before * w)[c] for c, w in zip(parts, model.mix, strict=True))
+    total = np.empty(len(distinct), np.float32)
+    for at in range(0, len(distinct), chunk):
+        scores = query[at:at + chunk] @ model.words.T + model.bias
         top = scores.max(axis=1, keepdims=True)
-    scores -= top
-    own = scores[np.arange(len(ids)), ids]
-    return own - np.log(np.exp(scores) @ np.ones(scores.shape[1], np.float32))
+        total[at:at + chunk] = np.log(np.exp(scores - top) @ np.ones(scores.shape[1], np.float32)) + top[:, 0]
+    own = np.einsum("ij,ij->i", query[which], model.words[ids]) + model.bias[ids]
+    return own - total[which]
 
 
 # -- Classes --------------------------------------------------------------------------------------
@@ -314,13 +322,12 @@ def fit(encoded: DataFrame, share: np.ndarray, size: int, order: int, noise: int
     return model
 
 
-def score_batches(model: Model, order: int, chunk: int = 8192):
+def score_batches(model: Model, order: int):
     """The Arrow stage that replaces ``ids`` by the sum of its tokens' log10 class probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, ctx, ends in joined(batches, order, 1 << 18):
-            logs = np.concatenate([token_scores(model, ids[at:at + chunk], ctx[:, at:at + chunk])
-                                   for at in range(0, len(ids), chunk)]).astype(np.float64)
+            logs = token_scores(model, ids, ctx).astype(np.float64)
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[ends], prepend=0.0) / LN10
             keep = [c for c in batch.schema.names if c != "ids"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sums)], names=[*keep, "classes"])
@@ -334,7 +341,7 @@ def held_out_of(doc_id: Column) -> Column:
 
 
 def score_texts(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", one_in: int = 1 << 20,
-                size: int = 24, order: int = 3, noise: int = 24, rate: float = 0.05, batch_size: int = 2048,
+                size: int = 24, order: int = 2, noise: int = 24, rate: float = 0.05, batch_size: int = 2048,
                 rounds: tuple[int, ...] = (1, 5, 20), seed: int = 12) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
