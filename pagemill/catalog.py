@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import urls as U
-from .functions.dom import node_table, register_shred, shred_pages
+from .functions.dom import node_table, page_hrefs, register_shred, shred_pages
 from .functions.values import collect_attr, collect_text, inner_markup
+from .operators import chunks as K
 from .operators import links as L
+from .operators import patterns as N
 from .operators import reshape as R
 from .operators.extract import (
-    apply_rules, drop_seed_pages, extract_lines, extract_strided, extract_table, select_rules, shred_rules)
+    apply_rules, drop_seed_pages, element_lists, extract_lines, extract_strided, extract_table, select_rules, shred_rules)
+from .operators.inside import join_inside
 from .operators.schedule import crawl_schedule
-from .operators.select import join_inside, node_filter, select_css, select_path, with_text
+from .operators.select import node_filter, select_css, select_path, with_text
 from .plans import crawl as C
 from .plans.job import run_job
 from .sinks import writers as S
@@ -108,6 +111,17 @@ def fetch_join(spark, folder):
     return P.response_gate(_fetched(spark, folder)).select("url", "status")
 
 
+@query("fetch_fragment", """SELECT page_id, url || f AS asked, length(html) AS n_chars FROM pages, unnest(['', '#a', '#b#c']) AS v(f)
+WHERE NOT contains(url, '#') UNION ALL SELECT page_id, url, length(html) FROM pages WHERE contains(url, '#')""")
+def fetch_fragment(spark, folder):
+    """Fragments of pages are answered by the page; pages that the corpus lists with one are found as listed."""
+    pages = pages_of(spark, folder)
+    more = F.when(F.contains("url", F.lit("#")), F.array(F.lit(""))).otherwise(F.array(*[F.lit(f) for f in ("", "#a", "#b#c")]))
+    asked = pages.select("page_id", F.explode(more).alias("f"), "url").select("page_id", F.concat("url", "f").alias("url"))
+    found = P.response_gate(P.fetch_pages(asked, P.with_status(pages)))
+    return found.select("page_id", F.col("url").alias("asked"), F.length("html").cast("long").alias("n_chars"))
+
+
 @query("fetch_failed", FETCHED + " SELECT url, status FROM fetched WHERE status IS NULL OR status = -1")
 def fetch_failed(spark, folder):
     return P.failed_fetches(_fetched(spark, folder, P.fetch_outcomes)).select("url", "status")
@@ -305,6 +319,29 @@ def filter_robots(spark, folder):
     return B.with_robots(pages_of(spark, folder).select("page_id", "url"), B.read_robots(derived_robots(spark, folder)))
 
 
+def long_robots(spark, folder) -> DataFrame:
+    """``(host, body)``: 3,000 rules a host, long and short paths mixed; every third host has none."""
+    def line(k: Column) -> Column:
+        lang = F.when(k % 3 == 0, "en").when(k % 3 == 1, "fr").otherwise("es")
+        verb = F.when((k + F.length("host")) % 2 == 0, "Disallow: /").otherwise("Allow: /")
+        return F.concat(verb, lang, F.lit("/"), (k * 7919 % 1009).cast("string"))
+
+    hosts = pages_of(spark, folder).select(U.url_domain(F.col("url")).alias("host")).distinct()
+    rules = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2999)), line), "\n")
+    return hosts.filter(F.length("host") % 3 != 2).select("host", F.concat(F.lit("User-agent: *\n"), rules).alias("body"))
+
+
+@query("filter_robots_long", f"""WITH u AS (SELECT page_id, url, {DOMAIN} AS host, regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS path FROM pages),
+r AS (SELECT k, '/' || CASE k % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'es' END || '/' || (k * 7919 % 1009) AS begin FROM range(3000) AS v(k)),
+m AS (SELECT page_id, min(k) AS k FROM u JOIN r ON starts_with(path, begin) WHERE length(host) % 3 <> 2 GROUP BY page_id)
+SELECT u.page_id, url, coalesce((m.k + length(host)) % 2 = 1, true) AS robots_ok FROM u LEFT JOIN m ON m.page_id = u.page_id""")
+def filter_robots_long(spark, folder):
+    ws = Workspace(spark)
+    rules, hosts = B.rule_table(ws.put(B.read_robots(long_robots(spark, folder)), "robots"))
+    urls = pages_of(spark, folder).select("page_id", "url")
+    return B.with_rule_table(urls, ws.put(rules, "rules"), ws.put(hosts, "hosts")).select("page_id", "url", "robots_ok")
+
+
 # URLs and filters --------------------------------------------------------------------------
 
 @query("url_normalize", f"SELECT page_id, {SEED_URL} AS url FROM pages")
@@ -344,6 +381,26 @@ def filter_pattern(spark, folder):
         U.url_matches_any(F.col("url"), [r"\.html$", r"/en/(?!.*utm).*"])).select("page_id", "url")
 
 
+def derived_patterns(spark, folder) -> DataFrame:
+    """``(set_id, pattern)``: a set for most hosts of the pages, from the beginnings of some of its paths."""
+    pages = pages_of(spark, folder).withColumn("set_id", U.url_domain(F.col("url")))
+    begin = F.concat(F.regexp_extract("url", "://[^/]+(/[a-z]+/[0-9])", 1), F.lit("[0-9]*([.]html|/)?$"))
+    return (pages.filter("page_id % 4 = 0").select("set_id", begin.alias("pattern"))
+            .union(pages.filter("page_id % 12 = 1").select("set_id", F.lit("#top$"))))
+
+
+@query("filter_patterns_table", f"""WITH u AS (SELECT page_id, url, {DOMAIN} AS host FROM pages),
+q AS (SELECT host, regexp_extract(url, '://[^/]+(/[a-z]+/[0-9])', 1) || '[0-9]*([.]html|/)?$' AS pattern FROM u WHERE page_id % 4 = 0
+  UNION SELECT host, '#top$' FROM u WHERE page_id % 12 = 1)
+SELECT page_id, url FROM u WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.host = u.host)
+OR EXISTS (SELECT 1 FROM q WHERE q.host = u.host AND regexp_matches(u.url, q.pattern))""")
+def filter_patterns_table(spark, folder):
+    """A pattern set per host, all sets in one table."""
+    table = Workspace(spark).put(N.pattern_table(derived_patterns(spark, folder)), "patterns")
+    rows = pages_of(spark, folder).select("page_id", "url", U.url_domain(F.col("url")).alias("set_id"))
+    return N.filter_patterns(rows, table).select("page_id", "url")
+
+
 @query("filter_allowed", f"""SELECT page_id, ord, dst_url FROM (SELECT page_id, ord, href AS path, {DOMAIN} AS host,
 {ORIGIN} || href AS dst_url FROM ({HREFS})) WHERE page_id % 3 <> 1 AND regexp_matches(dst_url, '/[a-s]|th') AND {ROBOTS_OK}""")
 def filter_allowed(spark, folder):
@@ -441,6 +498,14 @@ query("css_sibling", LINKS_RANKED.format(src=HREFS + " WHERE i = 3"))(_css("li:n
 query("css_later_siblings", LINKS_RANKED.format(src=HREFS + " WHERE i > 2"))(_css("li:nth-child(2) ~ li a"))
 query("css_not", LINKS_RANKED.format(src=HREFS + " WHERE i > 1 AND href[i] <> '/the'"))(
     _css('li:not(:first-child) > a:not([href="/the"])', "href"))
+query("css_has", LINKS_RANKED.format(src=HREFS))(_css("nav:has(> ul li) a", "href"))
+query("css_has_attr", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS match_ord, 'li' AS tag, text
+FROM ({HREFS}) WHERE starts_with(href, '/t')""")(_css('li:has(a[href^="/t"])', "href"))
+query("css_last", LINKS_RANKED.format(src=HREFS + " WHERE i = len(href)"))(_css("li:last-child > a"))
+query("css_only", LINKS_RANKED.format(src=HREFS + " WHERE len(href) = 1"))(_css("li:only-child > a:only-of-type"))
+query("css_nth_last", LINKS_RANKED.format(src=HREFS + " WHERE (len(href) - i) % 3 = 1"))(_css("li:nth-last-child(3n+2) a"))
+query("css_of_type", f"""SELECT page_id, 1::BIGINT AS match_ord, 'h1' AS tag, {H1} AS text FROM pages""")(
+    _css("h1:first-of-type:not(:empty, li)"))
 query("css_nth", LINKS_RANKED.format(src=HREFS + " WHERE i % 2 = 1"))(_css("li:nth-child(odd) a"))
 
 
@@ -564,6 +629,15 @@ max(CASE WHEN i % 3 = 1 THEN href END) AS c1, max(CASE WHEN i % 3 = 2 THEN href
 row_number() OVER (PARTITION BY {DOMAIN} ORDER BY url, ord) - 1 AS i FROM ({HREFS})) GROUP BY 1, 2 HAVING count(*) = 3""")
 def reshape_strided_level(spark, folder):
     """A host is the scope, so rows cross page boundaries."""
+    lists = page_hrefs(pages_of(spark, folder).select("url", "html")).withColumn("host", U.url_domain(F.col("url")))
+    return K.strided_lists(lists, 3, ["host"], ["url"], "hrefs")
+
+
+@query("reshape_strided_cells", f"""SELECT host, i // 3 AS row_id, max(CASE WHEN i % 3 = 0 THEN href END) AS c0,
+max(CASE WHEN i % 3 = 1 THEN href END) AS c1, max(CASE WHEN i % 3 = 2 THEN href END) AS c2 FROM (SELECT {DOMAIN} AS host, href,
+row_number() OVER (PARTITION BY {DOMAIN} ORDER BY url, ord) - 1 AS i FROM ({HREFS})) GROUP BY 1, 2 HAVING count(*) = 3""")
+def reshape_strided_cells(spark, folder):
+    """The same from stored cells, one row per value."""
     values = L.extract_links(pages_of(spark, folder)).select(
         U.url_domain(F.col("url")).alias("host"), "url", "ord", F.col("href").alias("value"))
     return R.reshape_strided(values, 3, ["host"], ["url", "ord"])
@@ -583,8 +657,8 @@ THEN '"' || replace({sql}, '"', '""') || '"' ELSE {sql} END"""
 FROM (SELECT {DOMAIN} AS host, name, value, row_number() OVER (PARTITION BY {DOMAIN}, name ORDER BY url, match_ord) - 1 AS i
 FROM ({CELLS})) GROUP BY 1, 2, 3""")
 def layout_horizontal(spark, folder):
-    stored = apply_rules(_ruled(spark, folder, "url"), RULE_SET).withColumn("host", U.url_domain(F.col("url")))
-    return R.layout_horizontal(stored, ["host"], ["url", "match_ord"], line_values=7)
+    lists = element_lists(_ruled(spark, folder, "url"), RULE_SET).withColumn("host", U.url_domain(F.col("url")))
+    return K.horizontal_lists(lists, ["host", "name"], ["url"], line_values=7)
 
 
 @query("layout_horizontal_page", f"""SELECT page_id, name, string_agg({quoted('value')}, ',' ORDER BY match_ord) AS line FROM ({CELLS})
@@ -664,10 +738,11 @@ def link_site_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return _SITES[key]
 
 
-def site_crawl(spark, folder, seeds: DataFrame, robots=None, redirects=None, **settings) -> C.Crawl:
+def site_crawl(spark, folder, seeds: DataFrame, robots=None, redirects=None, keep_refused: bool = False, **settings) -> C.Crawl:
     pages, index = link_site_tables(spark, folder)
     settings = {"allowed_domains": [site.HOST], **settings}
-    return C.crawl(C.make_seeds(seeds, **settings), pages, robots, redirects, track_source=False, index=index)
+    return C.crawl(C.make_seeds(seeds, **settings), pages, robots, redirects, track_source=False, index=index,
+                   keep_refused=keep_refused)
 
 
 # h: directory levels. Depth of every page from '/', for customers with orders and reached lines.
@@ -687,21 +762,33 @@ UNION ALL SELECT DISTINCT '/part/' || p, h + 3 FROM lines JOIN line_parts USING
 tried AS (SELECT path, depth FROM site
 UNION ALL SELECT DISTINCT '/line/' || o_orderkey || '/' || k, h + 2 FROM orders, h, unnest(range(1, 8)) AS u(k)
   WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.o = o_orderkey AND l.k = u.k)
-UNION ALL SELECT path || s, depth + 1 FROM site, unnest(['?page=2', '#reviews']) AS v(s) WHERE starts_with(path, '/part/'))"""
+UNION ALL SELECT path || s, depth + 1 FROM site, unnest(['?page=2', '#reviews']) AS v(s) WHERE starts_with(path, '/part/')),
+crawled AS (SELECT path, depth FROM site UNION ALL SELECT path || '#reviews', depth + 1 FROM site WHERE starts_with(path, '/part/'))"""
 
 
-@query("crawl_bfs", SITE + f" SELECT '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM site")
+@query("crawl_bfs", SITE + f" SELECT '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM crawled")
 def crawl_bfs(spark, folder):
     return site_crawl(spark, folder, site.site_seeds(spark, "/"), max_depth=20).crawled.select("url", "depth")
 
 
+@query("crawl_sources", SITE + f""" SELECT '{site.ROOT}' || path AS url, '{site.ROOT}' || src AS src_url FROM (
+SELECT path || '#reviews' AS path, path AS src FROM site WHERE starts_with(path, '/part/')
+UNION ALL SELECT '/nation/' || c_nationkey, min('/customer/' || c_custkey) FROM buyers GROUP BY c_nationkey)""")
+def crawl_sources(spark, folder):
+    """Where part fragments and nations were found: the first of the pages that link to them."""
+    pages, index = link_site_tables(spark, folder)
+    seeds = C.make_seeds(site.site_seeds(spark, "/"), allowed_domains=[site.HOST], max_depth=20)
+    found = C.crawl(seeds, pages, index=index).crawled.select("url", "src_url")
+    return found.filter(F.contains("url", F.lit("#")) | F.contains("url", F.lit("/nation/")))
+
+
 @query("crawl_depth_cap", SITE + f""" SELECT '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth, depth > 4 AS left_over FROM tried
 WHERE depth <= 5""")
 def crawl_depth_cap(spark, folder):
     return site_crawl(spark, folder, site.site_seeds(spark, "/"), max_depth=4).found.select("url", "depth", "left_over")
 
 
-@query("crawl_robots", SITE + f""" SELECT '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM site
+@query("crawl_robots", SITE + f""" SELECT '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM crawled
 WHERE (NOT starts_with(path, '/customer/1') OR starts_with(path, '/customer/10'))
 AND (NOT starts_with(path, '/nation/') OR path IN (SELECT '/nation/' || c_nationkey FROM buyers
   WHERE NOT starts_with(CAST(c_custkey AS VARCHAR), '1') OR starts_with(CAST(c_custkey AS VARCHAR), '10')))""")
@@ -712,8 +799,8 @@ def crawl_robots(spark, folder):
 
 
 @query("crawl_multi_seed", SITE + f""", home AS (SELECT '/region/' || n_regionkey AS r FROM nation WHERE n_nationkey = 3),
-two AS (SELECT 0 AS seed_id, path, depth FROM site UNION ALL
-SELECT 1, path, depth + 2 FROM site, home WHERE path <> r AND path <> '/nation/3' UNION ALL
+two AS (SELECT 0 AS seed_id, path, depth FROM crawled UNION ALL
+SELECT 1, path, depth + 2 FROM crawled, home WHERE path <> r AND path <> '/nation/3' UNION ALL
 SELECT 1, '/nation/3', 0 UNION ALL SELECT 1, r, 1 FROM home)
 SELECT CAST(seed_id AS INT) AS seed_id, '{site.ROOT}' || path AS url, CAST(depth AS INT) AS depth FROM two""")
 def crawl_multi_seed(spark, folder):
@@ -723,7 +810,8 @@ def crawl_multi_seed(spark, folder):
 
 @query("crawl_redirects", SITE + f""", moved AS (SELECT '/part/' || min(p_partkey) AS path FROM part UNION SELECT '/part/' || max(p_partkey) FROM part)
 SELECT '{site.ROOT}' || path AS url, CAST(0 AS INT) AS depth FROM moved
-UNION ALL SELECT '{site.ROOT}' || path, CAST(depth AS INT) FROM site WHERE path NOT IN (SELECT path FROM moved)""")
+UNION ALL SELECT '{site.ROOT}' || path || '#reviews', CAST(1 AS INT) FROM moved
+UNION ALL SELECT '{site.ROOT}' || path, CAST(depth AS INT) FROM crawled WHERE replace(path, '#reviews', '') NOT IN (SELECT path FROM moved)""")
 def crawl_redirects(spark, folder):
     """A click on the index leads to the first part, a click there to the last one: same level."""
     ends = spark.read.parquet(f"{folder}/part.parquet").agg(F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
@@ -753,10 +841,10 @@ def child_urls(spark, folder):
 
 @query("crawl_summary", SITE + """, other AS (SELECT 'mailto:x@shop.example.com' AS u UNION ALL SELECT 'https://other.example.org/x')
 SELECT CAST(0 AS INT) AS seed_id, (SELECT count(*) FROM tried) + 2 AS discovered, (SELECT count(*) FROM tried) AS allowed,
-(SELECT count(*) FROM tried) AS visited, (SELECT count(*) FROM site) AS fetched,
-(SELECT count(*) FROM tried) - (SELECT count(*) FROM site) AS failed, 0::BIGINT AS left_over""")
+(SELECT count(*) FROM tried) AS visited, (SELECT count(*) FROM crawled) AS fetched,
+(SELECT count(*) FROM tried) - (SELECT count(*) FROM crawled) AS failed, 0::BIGINT AS left_over""")
 def crawl_summary(spark, folder):
-    return C.crawl_summary(site_crawl(spark, folder, site.site_seeds(spark, "/"), max_depth=20))
+    return C.crawl_summary(site_crawl(spark, folder, site.site_seeds(spark, "/"), keep_refused=True, max_depth=20))
 
 
 SHOP_SPEC = """{"target_urls": [{"url": "https://shop.example.com/", "options": {"only_scrape_sub_pages": true, "render_pages": false},

@@ -182,6 +182,11 @@ def url_domain(url: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(url, _DIRT, ""), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
 
 
+def page_url(url: Column) -> Column:
+    """The URL without its fragment: what is asked for when it is fetched."""
+    return F.substring_index(url, "#", 1)
+
+
 def robots_url(url: Column) -> Column:
     """``scheme://authority/robots.txt`` of an http(s) URL, else empty."""
     root = F.regexp_extract(url, r"^https?://[^/]+", 0)
@@ -195,11 +200,19 @@ def url_in_domains(url: Column, domains: Column | list[str]) -> Column:
 
 
 def url_matches_any(url: Column, patterns: Column | list[str] | None) -> Column:
-    """True if any pattern is found in the URL, or if there are no patterns."""
+    """True if any pattern is found in the URL, or if there are no patterns.
+
+    The patterns of a column are tried as one alternative, which is compiled again only where a row
+    has other patterns than the row before; lists whose patterns refer to their own groups are
+    tried one by one. For large sets of patterns see ``operators.patterns``.
+    """
     if patterns is None or isinstance(patterns, list):
         out = F.lit(not patterns)
         for p in patterns or []:
             out = out | url.rlike(p)
         return out
-    return (F.coalesce(F.size(patterns), F.lit(0)) <= 0) | F.exists(
-        F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.rlike(url, p))
+    listed = F.coalesce(patterns, F.array().cast("array<string>"))
+    groups = F.exists(listed, lambda p: p.rlike(r"\\[1-9k]|\(\?<[a-zA-Z]"))
+    joined = F.array_join(F.transform(listed, lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
+    return (F.size(listed) <= 0) | F.when(groups, F.exists(listed, lambda p: F.rlike(url, p))).otherwise(
+        F.regexp_instr(url, joined, 0) > 0)

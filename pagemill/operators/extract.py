@@ -55,9 +55,15 @@ def _value(rule: Rule, slot: int, node: Column) -> Column:
     return _content(rule, node) if slot == 0 else collect_attr(node, rule.attr_name)
 
 
+def _placed(shredded: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Positions of every rule's matches in columns of their own, so that all slots of a rule share one walk."""
+    return shredded.select("*", *[rule_positions(r).alias(f"_at{r.element_id}") for r in rules if _slots(r)])
+
+
 def _slot_values(rule: Rule, slot: int) -> Column:
+    """Needs the columns of :func:`_placed`."""
     nodes = F.col("nodes")
-    return F.transform(rule_positions(rule), lambda i: _value(rule, slot, F.get(nodes, i)))
+    return F.transform(f"_at{rule.element_id}", lambda i: _value(rule, slot, F.get(nodes, i)))
 
 
 def select_rules(shredded: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -113,14 +119,14 @@ def extract_table(shredded: DataFrame, rules: list[Rule]) -> DataFrame:
     Row k of a page holds the k-th match of every element, null where an element has fewer. The
     columns are zipped inside the page's row: no pivot, no shuffle.
     """
-    return zip_columns(shredded, page_keys(shredded), _columns(rules))
+    return zip_columns(_placed(shredded, rules), page_keys(shredded), _columns(rules))
 
 
 def pages_and_links(pages: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
     """``(url, keys, targets, rows)``: links and wide rows (see ``reshape.zipped_rows``) of a page from one parse."""
     shredded = shred_rules(pages.select("url", *keys, "html"), rules, "href")
     linked = shredded.withColumn("targets", link_targets(anchor_hrefs(F.col("nodes")), F.col("url")))
-    return zip_arrays(linked, ["url", *keys, "targets"], list(_columns(rules).values()), "rows")
+    return zip_arrays(_placed(linked, rules), ["url", *keys, "targets"], list(_columns(rules).values()), "rows")
 
 
 def extract_lines(shredded: DataFrame, rules: list[Rule], delimiter: str = ",") -> DataFrame:
@@ -128,7 +134,13 @@ def extract_lines(shredded: DataFrame, rules: list[Rule], delimiter: str = ",")
     lines = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), F.array_join(
         F.transform(values, lambda v: csv_field(v, delimiter)), delimiter).alias("line"))
         for i, (name, values) in enumerate(_columns(rules).items())]
-    return shredded.select(*page_keys(shredded), F.inline(F.array(*lines)))
+    return _placed(shredded, rules).select(*page_keys(shredded), F.inline(F.array(*lines)))
+
+
+def element_lists(shredded: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``(keys, name, values)``: one row per page and element, its values as a list in walk order."""
+    lists = [F.struct(F.lit(name).alias("name"), values.alias("values")) for name, values in _columns(rules).items()]
+    return _placed(shredded, rules).select(*page_keys(shredded), F.inline(F.array(*lists)))
 
 
 def extract_strided(shredded: DataFrame, rules: list[Rule], width: int | None = None) -> DataFrame:

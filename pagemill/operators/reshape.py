@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import span
 from ..functions.values import csv_field
 from ..storage import Workspace
+from .chunks import PART_VALUES
 from .ranks import group_rank
 
 
@@ -57,7 +58,8 @@ def reshape_strided(values: DataFrame, width: int, scope: list[str], order: list
     """Literal positional assembly of stored values over a scope of any size.
 
     Positions come from :func:`group_rank`, so a scope such as a whole crawl level is spread over
-    many tasks; rows are put together by ``(scope, row)``, at most ``width`` values each.
+    many tasks; rows are put together by ``(scope, row)``, at most ``width`` values each. For values
+    that are still lists in their pages, ``chunks.strided_lists`` sums list sizes instead.
     """
     ranked = group_rank(values.select(*dict.fromkeys([*scope, *order, value])), scope, order, "_i", workspace)
     slot = F.pmod(F.col("_i"), F.lit(width))
@@ -86,17 +88,17 @@ def table_lines(table: DataFrame, key: str, order: str, values: dict[str, str],
     return table.groupBy(key).agg(*lists).select(key, F.inline(F.array(*lines)))
 
 
-def layout_horizontal(cells: DataFrame, scope: list[str], order: list[str], line_values: int | None = None,
+def layout_horizontal(cells: DataFrame, scope: list[str], order: list[str], line_values: int = PART_VALUES,
                       delimiter: str = ",", workspace: Workspace | None = None) -> DataFrame:
     """One line per element and scope, values across: ``(scope, name, part, line)``.
 
-    An element's line is whole (part 0) unless ``line_values`` asks for parts of at most that many
-    values, so that no line is gathered in one task; the parts in order, with the delimiter between
-    them, give the line.
+    Lines come in parts of at most ``line_values`` values, so that no task gathers a line of any
+    length; the parts in order, with the delimiter between them, give the line. For values that are
+    still lists in their pages, ``chunks.horizontal_lists`` does the same without ranking each value.
     """
     keys = [*scope, "name"]
     ranked = group_rank(cells.select(*dict.fromkeys([*keys, *order, "value"])), keys, order, "_i", workspace)
-    part = F.floor(F.col("_i") / line_values).cast("int") if line_values else F.lit(0)
+    part = F.floor(F.col("_i") / line_values).cast("int")
     return (ranked.groupBy(*keys, part.alias("part"))
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "value"))),
                                           lambda x: csv_field(x["value"], delimiter)), delimiter).alias("line")))

@@ -1,11 +1,11 @@
-"""Selection over shredded pages, and the same as joins over a stored node table."""
+"""Selection over shredded pages; ``inside.join_inside`` does the same by joins over a stored node table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.selectors import css_positions, parse_selector, path_positions
+from ..functions.selectors import Page, css_positions, parse_selector, path_positions
 from ..functions.values import collect_text
 
 SHREDDED = ("chunks", "nodes")
@@ -42,22 +42,10 @@ def with_text(matches: DataFrame) -> DataFrame:
                           collect_text(F.col("node"), F.col("chunks")).alias("text"))
 
 
-def join_inside(outer: DataFrame, inner: DataFrame, *keys: str) -> DataFrame:
-    """Containment join over stored node tables: inner nodes strictly inside outer ones.
-
-    Both sides are node tables (see ``dom.node_table``), already filtered. The equi-join is on the
-    page key with the interval as residual, so rows never leave their page. Prefer
-    :func:`select_path` on shredded pages, which needs no join.
-    """
-    a = outer.select(*keys, F.col("pre").alias("outer_pre"), F.col("last").alias("outer_last"))
-    return (inner.join(a, list(keys)).filter((F.col("pre") > F.col("outer_pre")) & (F.col("pre") <= F.col("outer_last")))
-            .drop("outer_last"))
-
-
 def node_filter(nodes: DataFrame, selector: str) -> DataFrame:
     """Rows of a node table that pass a selector without combinators (pushed to a columnar scan)."""
     parsed = parse_selector(selector)
-    if any(len(c.parts) > 1 for c in parsed.chains):
-        raise ValueError("a node table is filtered by simple selectors; join_inside adds the nesting")
+    if not parsed.alone:
+        raise ValueError("a node table is filtered by a node's own fields; join_inside adds the nesting")
     row = F.struct(*nodes.columns)
-    return nodes.filter(parsed.holds(row, F.array(row)))
+    return nodes.filter(parsed.holds(row, Page(F.array(row))))

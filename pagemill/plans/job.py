@@ -56,13 +56,13 @@ def run_job(spark: SparkSession, spec_path: str, pages: DataFrame, robots: DataF
         result = crawl(seeds, pages, robots, redirects, arrival, track_source=False)
         answered = response_gate(pages if "status" in pages.columns else pages.withColumn("status", F.lit(200)))
         table = extract_table(shred_rules(
-            on_pages(latest_pages(result.pages(answered), arrival).select("url", "html")), rules), rules)
+            on_pages(result.pages(latest_pages(answered, arrival, ws)).select("url", "html")), rules), rules)
     else:
         parsed = ws.put_bucketed(job_index(candidate_pages(pages, seeds, redirects), rules, arrival), "parsed", "url")
         result = crawl(seeds, pages, robots, redirects, track_source=False,
                        index=parsed.select("url", "status", "targets"))
-        table = zipped_rows(parsed.select("url", "rows").join(result.reached, "url", "left_semi"), ["url"], "rows",
-                            output_columns(rules))
+        rows = parsed.select(F.col("url").alias("page"), "rows").join(result.reached, "page").select("url", "rows")
+        table = zipped_rows(rows, ["url"], "rows", output_columns(rules))
     if on_cells:
         table = on_cells(table)
     sinks: list[tuple[str, str]] = []

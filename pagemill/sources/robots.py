@@ -106,3 +106,38 @@ def filter_robots(urls: DataFrame, robots: DataFrame, agent: str = "*", ignore:
     if ignore:
         return urls
     return with_robots(urls, robots, agent).filter("robots_ok").drop("robots_ok", "robots_delay")
+
+
+def rule_table(robots: DataFrame, agent: str = "*") -> tuple[DataFrame, DataFrame]:
+    """The rules for one agent as relations, for files with very many of them.
+
+    Returns ``(rules, hosts)``: ``(host, path, allow, seq)`` with the first rule of every path, and
+    ``(host, lengths, denied, delay)`` with the distinct lengths of a host's rule paths.
+    """
+    chosen = robots.select("host", agent_group(F.col("groups"), agent).alias("g"), "denied")
+    flat = chosen.select("host", F.posexplode("g.rules").alias("seq", "r")).select("host", "seq", "r.allow", "r.path")
+    rules = flat.groupBy("host", "path").agg(F.min_by("allow", "seq").alias("allow"), F.min("seq").alias("seq"))
+    lengths = F.array_distinct(F.transform(F.coalesce("g.rules", F.array()), lambda r: F.length(r["path"])))
+    return rules, chosen.select("host", lengths.alias("lengths"), "denied", F.col("g.delay").alias("delay"))
+
+
+def with_rule_table(urls: DataFrame, rules: DataFrame, hosts: DataFrame) -> DataFrame:
+    """What :func:`with_robots` adds, from the stored relations of :func:`rule_table`.
+
+    The beginnings of a URL's path, of the lengths that its host's rules have, meet the rules in an
+    equi-join; of the rules met the first one decides. A URL costs one row per length, however many
+    rules its host has. Hosts with many URLs and rules that fit many of them are spread.
+    """
+    hosted = urls.select("url").distinct().withColumn("host", url_domain(F.col("url")))
+    known = spread_lookup(hosted, hosts.select("host", "lengths"), "host", "url").filter(F.size("lengths") > 0)
+    path = known.withColumn("path", robots_path(F.col("url")))
+    begun = path.select("url", F.col("host"), F.explode(F.transform(
+        F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("path"))
+    keyed = rules.select(F.struct("host", "path").alias("begin"), "allow", "seq")
+    met = spread_lookup(begun.select("url", F.struct("host", "path").alias("begin")), keyed, "begin", "url")
+    first = met.filter(F.col("seq").isNotNull()).groupBy("url").agg(F.min_by("allow", "seq").alias("_allow"))
+    of_host = hosts.select("host", "denied", F.col("delay").alias("_delay"))
+    return (spread_lookup(urls.join(first, "url", "left").withColumn("host", url_domain(F.col("url"))), of_host, "host", "url")
+            .withColumn("robots_ok", ~F.coalesce(F.col("denied"), F.lit(False)) & F.coalesce(F.col("_allow"), F.lit(True)))
+            .withColumn("robots_delay", F.col("_delay"))
+            .drop("host", "_allow", "_delay", "denied"))

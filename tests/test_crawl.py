@@ -70,6 +70,8 @@ def test_many_seeds_with_their_own_limits(spark, seed):
     parents = [r for r in result.found.collect() if r.depth > 0]
     assert all(r.url in links[r.src_url] and want[r.seed_id, r.src_url] == r.depth - 1 for r in parents)
     totals = {r.seed_id: r for r in C.crawl_summary(result).collect()}
+    kept = C.crawl(C.make_seeds(seeds), corpus(spark, links), keep_refused=True)
+    assert {r.seed_id: r for r in C.crawl_summary(kept).collect()} == totals
     for i, s in limits.items():
         mine = {u: d for (j, u), d in want.items() if j == i}
         got = {u for u, d in mine.items() if d <= s and u in links}
@@ -117,6 +119,20 @@ def test_copies_and_bad_responses(spark):
     assert {r.url for r in result.index.collect()} == {"http://h/", "http://h/old"}
 
 
+def test_fragments_are_found_on_their_page(spark):
+    rows = [("http://h/", '<a href="/b#x">x</a><a href="/c#y">y</a><a href="/d#z">z</a>'), ("http://h/b", '<a href="/e">e</a>'),
+            ("http://h/c#y", '<a href="/f">f</a>'), ("http://h/c", '<a href="/g">g</a>'), ("http://h/e", ""), ("http://h/f", "")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    result = C.crawl(C.make_seeds(spark.createDataFrame([(0, "http://h/#start")], "seed_id int, url string")), pages)
+    assert {r.url: r.page for r in result.crawled.collect()} == {
+        "http://h/#start": "http://h/", "http://h/b#x": "http://h/b", "http://h/c#y": "http://h/c#y", "http://h/e": "http://h/e",
+        "http://h/f": "http://h/f"}
+    assert {r.url for r in result.visited.filter("NOT fetched").collect()} == {"http://h/d#z"}
+    assert {(r.url, r.html) for r in result.pages(pages).collect()} == {
+        ("http://h/b#x", rows[1][1]), ("http://h/c#y", rows[2][1]), ("http://h/e", ""), ("http://h/f", "")}
+    assert [r.fetched for r in C.crawl_summary(result).collect()] == [5]
+
+
 def test_no_seed(spark):
     seeds = spark.createDataFrame([], "seed_id int, url string")
     assert C.crawl(C.make_seeds(seeds), corpus(spark, graph(1))).found.count() == 0

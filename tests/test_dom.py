@@ -11,7 +11,8 @@ from pagemill.functions import dom
 from pagemill.functions.dom import node_table, page_hrefs, shred_pages
 from pagemill.functions.selectors import parse_selector
 from pagemill.functions.values import inner_markup
-from pagemill.operators.select import join_inside, node_filter, select_css, select_path, with_text
+from pagemill.operators.inside import join_inside
+from pagemill.operators.select import node_filter, select_css, select_path, with_text
 
 SHELVES = """<section class="wing">
 <ul class="shelf low"><li class="slot"> atlas </li></ul>
@@ -93,6 +94,11 @@ SELECTORS = {
     "div > p": "p1 p2 p3", "div p": "p1 p2 p3", "p + p": "p2 p3", "#p1 ~ p": "p2 p3", "p:first-child": "p1",
     "p:nth-child(2n)": "p2", "p:nth-child(-n+2)": "p1 p2", "p:not(.a)": "p2 p3", "p:not([lang])": "p1",
     "#d1 > div, #d1 > p": "p1 p2 p3 d2", "div div": "d2", ".a .a": "p1", "[data-x^='']": "", "p:nth-child(odd)": "p1 p3",
+    "div:has(p)": "d1", "div:has(> [data-x])": "d1", "p:has(+ p)": "p1 p2", "p:has(~ div)": "p1 p2 p3", "body :has(div)": "d1",
+    "div:has(p + p:not(.a))": "d1", "div:has(p > p, > div:empty)": "d1", ":is(#p1, #d3)": "p1 d3", "div:not(:has(p), .q)": "d2 d3",
+    "div:last-child": "d2 d3", "p:last-child": "", "p:last-of-type": "p3", "p:first-of-type": "p1", "div:only-of-type": "d2",
+    "div :only-of-type": "d2", "p:nth-of-type(2n+1)": "p1 p3", "p:nth-last-of-type(1)": "p3", "p:nth-last-child(-n+2)": "p3",
+    "div:empty": "d2 d3", "p:empty": "", "div:only-child": "", "div:nth-last-child(1):not([data-x='2 3'])": "d2",
 }
 SELECTOR_PAGE = """<div id=d1 class="a b"><p id=p1 class="\ta\nc">1</p><p id=p2 lang=en>2</p><p id=p3 lang=en-US>3</p>
 <div id=d2 data-x=1></div></div><div id=d3 data-x="2 3"></div>"""
@@ -105,7 +111,8 @@ def test_selector(spark, selector):
     assert " ".join(ids) == SELECTORS[selector]
 
 
-@pytest.mark.parametrize("selector", ["", "p::before", "p:hover", "p >", "> p", "a,,b", "p:not(a b)", "(x)", "p:nth-child(x)"])
+@pytest.mark.parametrize("selector", ["", "p::before", "p:hover", "p >", "> p", "a,,b", "p:not(a b)", "(x)", "p:nth-child(x)",
+                                      "p:has()", "p:has(a", "p:nth-child", "p:empty(x)", "p:not(a,)", "p:has(:hover)"])
 def test_unsupported_selector_is_refused(selector):
     with pytest.raises(ValueError):
         parse_selector(selector)
@@ -188,6 +195,100 @@ def test_batches_stay_bounded(monkeypatch):
     assert [b.column("k").to_pylist() for b in out] == [[1, 2], [3, 4], [5]]
 
 
+#: Selectors next to what they mean: n is a node, t the page's nodes.
+MEANS = {
+    "div p": lambda n, t: n.tag == "p" and any(a.tag == "div" for a in above(n, t)),
+    "div b a": lambda n, t: n.tag == "a" and any(
+        b.tag == "b" and any(d.tag == "div" for d in above(b, t)) for b in above(n, t)),
+    "ul p ~ b, td a": lambda n, t: (n.tag == "b" and any(
+        m.tag == "p" and m.parent == n.parent and m.pre < n.pre and any(u.tag == "ul" for u in above(m, t)) for m in t)) or (
+        n.tag == "a" and any(a.tag == "td" for a in above(n, t))),
+    "ul a, td a, p a": lambda n, t: n.tag == "a" and any(a.tag in ("ul", "td", "p") for a in above(n, t)),
+    "p ~ b, a ~ b": lambda n, t: n.tag == "b" and any(m.tag in ("p", "a") and m.parent == n.parent and m.pre < n.pre for m in t),
+    ":has(b)": lambda n, t: any(m.tag == "b" for m in below(n, t)),
+    ":has(> a, > b)": lambda n, t: any(m.tag in "ab" and m.parent == n.pre for m in t),
+    "p:has(+ p)": lambda n, t: n.tag == "p" and any(m.tag == "p" and m.prev == n.pre for m in t),
+    "b:has(~ a)": lambda n, t: n.tag == "b" and any(m.tag == "a" and m.parent == n.parent and m.pre > n.pre for m in t),
+    ":has(p b)": lambda n, t: any(m.tag == "p" and any(k.tag == "b" for k in below(m, t)) for m in below(n, t)),
+    "div > :last-child": lambda n, t: n.parent >= 0 and t[n.parent].tag == "div" and not later(n, t),
+    "body :only-child": lambda n, t: n.sib == 1 and not later(n, t) and any(a.tag == "body" for a in above(n, t)),
+    "p:nth-of-type(2n)": lambda n, t: n.tag == "p" and len([m for m in t if m.parent == n.parent and m.tag == "p" and m.pre <= n.pre]) % 2 == 0,
+    "b:last-of-type": lambda n, t: n.tag == "b" and not any(m.tag == "b" for m in later(n, t)),
+    ":nth-last-child(2)": lambda n, t: len(later(n, t)) == 1,
+    "b:empty": lambda n, t: n.tag == "b" and n.last == n.pre and n.c0 == n.c1,
+}
+
+
+def above(n, t):
+    while n.parent >= 0:
+        n = t[n.parent]
+        yield n
+
+
+def below(n, t):
+    return t[n.pre + 1:n.last + 1]
+
+
+def later(n, t):
+    return [m for m in t if m.parent == n.parent and m.pre > n.pre]
+
+
+@pytest.fixture(scope="module")
+def random_trees(spark):
+    frame = shred_pages(pages(spark, *random_pages(150, 5)))
+    return frame, {r.k: r.nodes for r in frame.collect()}
+
+
+@pytest.mark.parametrize("selector", list(MEANS))
+def test_selector_on_random_pages(random_trees, selector):
+    frame, trees = random_trees
+    got = sorted((r.k, r.pre) for r in select_css(frame, selector).select("k", "node.pre").collect())
+    assert got == [(k, n.pre) for k, t in sorted(trees.items()) for n in t if MEANS[selector](n, t)]
+    assert got
+
+
+def test_deep_and_wide_pages_are_cheap(spark):
+    deep = shred_pages(pages(spark, "<b>" * 8000 + "<i>x</i>"), [])
+    wide = shred_pages(pages(spark, "<div><p><b>x</b></p></div>" * 20_000), [])
+    start = time.perf_counter()
+    assert select_css(deep, "b b i").count() == 1 and select_css(deep, "b:has(i)").count() == 8000
+    assert select_path(deep, ["b", "i"]).count() == 8000
+    assert select_css(wide, "body div b").count() == 20_000 and select_path(wide, ["div", "p", "b"]).count() == 20_000
+    assert select_css(wide, "div:has(b):nth-of-type(2n)").count() == 10_000
+    assert time.perf_counter() - start < 60
+
+
+def test_containment_pairs_only(spark):
+    """20,000 boxes, nested and side by side, each with its own link."""
+    nested = spark.range(20_000).select(F.lit("deep").alias("k"), F.col("id").cast("int").alias("pre"), F.lit(40_000).alias("last"))
+    flat = spark.range(200_000).select(F.lit("flat").alias("k"), (F.col("id") * 2).cast("int").alias("pre"),
+                                       (F.col("id") * 2 + 1).cast("int").alias("last"))
+    unkeyed = spark.range(1).select(F.lit(None).cast("string").alias("k"), F.lit(0).alias("pre"), F.lit(9).alias("last"))
+    links = [("deep", 30_000), ("deep", 10_000), ("none", 5), (None, 3)]
+    inner = spark.createDataFrame(links, "k string, pre int").union(flat.select("k", F.col("pre") + 1))
+    start = time.perf_counter()
+    found = join_inside(nested.union(flat).union(unkeyed), inner.withColumn("attrs", F.create_map(F.lit("a"), F.col("k"))), "k")
+    counts = {r.k: (r["count"], r.s) for r in found.groupBy("k").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.col("pre") - F.col("outer_pre")).alias("s")).collect()}
+    assert counts == {"deep": (30_000, sum(range(10_001, 30_001)) + sum(range(1, 10_001))), "flat": (200_000, 200_000)}
+    assert time.perf_counter() - start < 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_segments_cut_long_pages(spark):
+    frame = shred_pages(pages(spark, *random_pages(200, 3)))
+    nodes = node_table(frame, "k").persist()
+    outer, inner = node_filter(nodes, "div, ul, body"), node_filter(nodes, "a, b, p")
+    want = sorted((r.k, r.pre, r.outer_pre) for r in outer.select("k", F.col("pre").alias("outer_pre"), "last").join(
+        inner.select("k", "pre"), "k").filter("pre > outer_pre AND pre <= last").collect())
+    for segment in (1, 3, None):
+        got = join_inside(outer, inner, "k", segment=segment)
+        assert sorted((r.k, r.pre, r.outer_pre) for r in got.collect()) == want
+    assert got.columns == [*inner.columns, "outer_pre"]
+    assert join_inside(outer.limit(0), inner, "k").count() == join_inside(outer, inner.limit(0), "k").count() == 0
+
+
 def test_plan_has_no_shuffle(spark):
     df = select_path(shred_pages(pages(spark, SHELVES)), [".wing", ".slot"])
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

@@ -2,11 +2,13 @@
 
 import csv
 import json
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.operators import chunks as K
 from pagemill.operators import reshape as R
 from pagemill.operators.extract import (
     apply_rules, drop_seed_pages, extract_lines, extract_strided, extract_table, shred_rules)
@@ -14,8 +16,10 @@ from pagemill.operators.ranks import group_rank, running_total
 from pagemill.operators.schedule import crawl_schedule
 from pagemill.plans.job import run_job
 from pagemill.sinks import writers as S
+from pagemill.sources import pages as P
 from pagemill.sources.pages import failed_fetches, fetch_pages, latest_pages, response_gate, status_report
 from pagemill.sources.specs import Rule
+from pagemill.storage import Workspace
 from pagemill.streaming import pages as T
 
 SHOP = [("u0", '<h1>A, "x"</h1><p class=price>1</p><p class=price>2</p><a href=k>t\n</a>'),
@@ -109,6 +113,31 @@ def test_strided_and_horizontal_over_a_hot_scope(spark):
     assert {s: ",".join(p) for s, p in whole.items()} == {s: ",".join(x[2] for x in sorted(i)) for s, i in ordered.items()}
 
 
+@pytest.mark.parametrize("width", [1, 3, 40, 100_000])
+def test_chunks_of_lists(spark, width):
+    """Lists of 0 to 79 values, a hot scope, null lists and null values; one row per list is placed."""
+    rng = random.Random(5)
+    rows = [("hot" if k % 3 else f"s{k % 5}" if k % 4 else None, f"u{k:04d}",
+             None if k % 17 == 0 else [None if rng.random() < 0.1 else f'{k},"{i}' for i in range(rng.choice([0, 1, 2, 79]))])
+            for k in range(400)]
+    lists = spark.createDataFrame(rows, "s string, url string, values array<string>").repartition(7)
+    ws = Workspace(spark)
+    have = {(r.s, r.chunk): list(r["items"]) for r in K.chunks_of(lists, ["s"], ["url"], "values", width, ws).collect()}
+    want, flat = {}, defaultdict(list)
+    for s, _, values in sorted(rows, key=lambda r: r[1]):
+        flat[s] += values or []
+    for s, values in flat.items():
+        for at in range(0, len(values), width):
+            want[s, at // width] = values[at:at + width]
+    assert have == want
+    assert spark.read.parquet(f"{ws.path}/ranges").count() == sum(bool(v) for _, _, v in rows)
+    lines = K.horizontal_lists(lists, ["s"], ["url"], line_values=width).collect()
+    assert len(lines) == len(want)
+    full = {(r.s, r.row_id): r.c0 for r in K.strided_lists(lists, width, ["s"], ["url"]).select("s", "row_id", "c0").collect()} if width < 50 else {}
+    assert full == ({k: v[0] for k, v in want.items() if len(v) == width} if width < 50 else {})
+    assert K.chunks_of(lists.limit(0), ["s"], ["url"], "values", width).count() == 0
+
+
 def test_schedule(spark):
     df = spark.createDataFrame([("http://a/2", None), ("http://a/1", None), ("http://b/1", 5.0), ("http://b/2", 5.0), ("http://b/3", 0.0)],
                                "url string, d double")
@@ -124,6 +153,28 @@ def test_responses(spark):
     assert {(r.status, r.verdict) for r in status_report(fetched).collect()} >= {(-1, "bad"), (404, "good")}
 
 
+def test_bodies_stay_where_they_are_read(spark):
+    ws = Workspace(spark)
+    rows = [(k, None if k % 50 == 1 else "hot" if k < 300 else f"u{k}", f"<p>{k}", k % 7) for k in range(400)] + [(500, "hot", "<p>299", 299 % 7)]
+    stored = ws.put(spark.createDataFrame(rows, "page_id long, url string, html string, seen int").repartition(5), "pages")
+    pages = stored.filter("page_id <> 3").withColumn("url", F.upper("url"))
+    for arrival in ("page_id", "seen"):
+        want = {}
+        for i, u, h, n in rows:
+            if i != 3:
+                want.setdefault(u and u.upper(), []).append((i if arrival == "page_id" else n, h, i))
+        got = latest_pages(pages, arrival)
+        by_url = {r.url: (r[arrival], r.html) for r in got.collect()}
+        assert got.count() == len(by_url) == len(want) and got.columns == pages.columns
+        assert all(v[0] == max(w[0] for w in want[u]) and v in {w[:2] for w in want[u]} for u, v in by_url.items())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange" in line]
+        assert moved and all("Broadcast" in line for line in moved)
+    narrow = P.outdated(P.located(pages), "page_id")._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in narrow.splitlines() if "Aggregate" in line or "Join" in line]
+    assert aggregates and not any("html#" in line and "xxhash64" not in line for line in aggregates)
+
+
 def test_latest_of_many_copies(spark):
     pages = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("url"),
                                      F.col("id").cast("string").alias("html"), F.col("id").alias("page_id"))
