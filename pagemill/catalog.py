@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import urls as U
-from .functions.dom import node_table, page_hrefs, register_shred, shred_pages
-from .functions.values import collect_attr, collect_text, inner_markup
+from .functions.dom import node_table, page_hrefs, shred_pages, shred_view
+from .functions.values import collect_attr, collect_text, inner_markup, register_value
 from .operators import chunks as K
 from .operators import links as L
 from .operators import patterns as N
@@ -21,10 +21,11 @@ from .operators import reshape as R
 from .operators.extract import (
     apply_rules, drop_seed_pages, element_lists, extract_lines, extract_strided, extract_table, select_rules, shred_rules)
 from .operators.inside import join_inside
-from .operators.schedule import crawl_schedule
+from .operators.schedule import crawl_schedule, crawl_timeline
 from .operators.select import node_filter, select_css, select_path, with_text
 from .plans import crawl as C
 from .plans.job import run_job
+from .plans.jobs import run_jobs
 from .sinks import writers as S
 from .sources import linksite as site
 from .sources import pages as P
@@ -467,9 +468,8 @@ def nodes_by_tag(spark, folder):
 
 @query("shred_sql", f"SELECT page_id, tag, n FROM ({TAG_SQL}) WHERE n > 0")
 def shred_sql(spark, folder):
-    register_shred(spark)
-    return spark.sql(f"""SELECT page_id, tag, count(*) AS n FROM parquet.`{folder}/pages.parquet` p, LATERAL shred(p.html)
-        WHERE tag IN ({', '.join(repr(t) for t in TAGS)}) GROUP BY page_id, tag""")
+    shred_view(pages_of(spark, folder), "elements", "page_id")
+    return spark.sql(f"SELECT page_id, tag, count(*) AS n FROM elements WHERE tag IN ({', '.join(repr(t) for t in TAGS)}) GROUP BY page_id, tag")
 
 
 @query("links", f"SELECT page_id, ord, href FROM ({HREFS})")
@@ -502,7 +502,7 @@ query("css_has", LINKS_RANKED.format(src=HREFS))(_css("nav:has(> ul li) a", "hre
 query("css_has_attr", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS match_ord, 'li' AS tag, text
 FROM ({HREFS}) WHERE starts_with(href, '/t')""")(_css('li:has(a[href^="/t"])', "href"))
 query("css_last", LINKS_RANKED.format(src=HREFS + " WHERE i = len(href)"))(_css("li:last-child > a"))
-query("css_only", LINKS_RANKED.format(src=HREFS + " WHERE len(href) = 1"))(_css("li:only-child > a:only-of-type"))
+query("css_only", LINKS_RANKED.format(src=HREFS + " WHERE i = 1"))(_css("nav > ul:only-child > li:first-of-type > a:only-of-type"))
 query("css_nth_last", LINKS_RANKED.format(src=HREFS + " WHERE (len(href) - i) % 3 = 1"))(_css("li:nth-last-child(3n+2) a"))
 query("css_of_type", f"""SELECT page_id, 1::BIGINT AS match_ord, 'h1' AS tag, {H1} AS text FROM pages""")(
     _css("h1:first-of-type:not(:empty, li)"))
@@ -611,6 +611,21 @@ def extract_table_query(spark, folder):
     return extract_table_frame(pages_of(spark, folder))
 
 
+VALUE_SPEC = """{"elements":[{"name":"Link","css_selector":"nav li > a","data_parsing":{"collect_text":true,
+  "value_functions":["initial","depth"]}}]}"""
+
+
+@query("value_functions", f"""SELECT page_id, ord AS row_ord, text AS "Link", substr(text, 1, 1) AS "Link initial", '5' AS "Link depth"
+FROM ({HREFS})""")
+def value_functions(spark, folder):
+    """Functions registered by name and named by a spec's element."""
+    register_value("initial", lambda node, text: F.substring(text, 1, 1))
+    register_value("depth", lambda node, text: node["level"])
+    spec = spark.range(1).select(F.lit(0).alias("spec_id"), F.lit(VALUE_SPEC).alias("spec"))
+    rules = J.load_rules(J.spec_rules(J.parse_specs(spec)))
+    return extract_table(shred_rules(pages_of(spark, folder).select("page_id", "html"), rules), rules)
+
+
 @query("reshape_aligned", f"""SELECT url, row_ord AS match_ord, "Link", "Link href", "Title", "Ad" FROM ({TABLE}) JOIN pages USING (page_id)""")
 def reshape_aligned(spark, folder):
     stored = Workspace(spark).put(apply_rules(_ruled(spark, folder, "page_id", "url"), RULE_SET), "cells")
@@ -823,22 +838,54 @@ def crawl_redirects(spark, folder):
                       max_depth=20).crawled.select("url", "depth")
 
 
-@query("child_urls", f"""SELECT DISTINCT '{site.ROOT}/customer/' || o_custkey AS url FROM orders
+CHILDREN = f"""SELECT DISTINCT '{site.ROOT}/customer/' || o_custkey AS url FROM orders
 WHERE o_custkey % 7 <> 0 AND (NOT starts_with(CAST(o_custkey AS VARCHAR), '1') OR starts_with(CAST(o_custkey AS VARCHAR), '10'))
 UNION ALL SELECT '{site.ROOT}/line/' || o_orderkey || '/' || k FROM (SELECT DISTINCT o_orderkey FROM orders), unnest(range(1, 8)) AS u(k)
-WHERE k <> 2""")
+WHERE k <> 2"""
+
+
+def _child_settings(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Settings and URLs seen before."""
+    seeds = C.make_seeds(site.site_seeds(spark, "/"), allowed_domains=[site.HOST], url_patterns=["/line/.*/[13-7]$", "/customer/"])
+    seen = spark.read.parquet(f"{folder}/customer.parquet").filter("c_custkey % 7 = 0").select(
+        F.lit(0).alias("seed_id"), F.format_string(site.ROOT + "/customer/%s", "c_custkey").alias("url"))
+    return C.attach_robots(seeds, B.read_robots(site.site_robots(spark))), seen
+
+
+@query("child_urls", CHILDREN)
 def child_urls(spark, folder):
     """Children of all order pages: line 2 fits no pattern, the robots file refuses some customers, and
     every seventh customer was seen before."""
     _, index = link_site_tables(spark, folder)
-    seeds = C.make_seeds(site.site_seeds(spark, "/"), allowed_domains=[site.HOST], url_patterns=["/line/.*/[13-7]$", "/customer/"])
-    settings = C.attach_robots(seeds, B.read_robots(site.site_robots(spark)))
-    seen = spark.read.parquet(f"{folder}/customer.parquet").filter("c_custkey % 7 = 0").select(
-        F.lit(0).alias("seed_id"), F.format_string(site.ROOT + "/customer/%s", "c_custkey").alias("url"))
+    settings, seen = _child_settings(spark, folder)
     hits = index.filter(F.col("url").startswith(site.ROOT + "/order/")).select(F.lit(0).alias("seed_id"), "targets")
     return C.unseen(C.child_urls(hits, settings), seen).select("url")
 
 
+@query("stream_frontier", CHILDREN)
+def stream_frontier(spark, folder):
+    """The same from the site's pages as they arrive, in state that forgets."""
+    base = scratch(spark)
+    pages, _ = link_site_tables(spark, folder)
+    settings, seen = _child_settings(spark, folder)
+    arriving = T.stream_pages(spark, pages.inputFiles()[0].rsplit("/", 1)[0], schema="url STRING, html STRING").withColumn(
+        "met_at", F.current_timestamp())
+    fresh = T.stream_frontier(arriving, settings, "met_at", visited=seen).select("url")
+    T.stream_to_files(fresh, base + "/out", base + "/state").awaitTermination()
+    return spark.read.schema(fresh.schema).parquet(base + "/out")
+
+
+@query("crawl_timeline", SITE + f""" SELECT '{site.ROOT}' || path AS url, '{site.HOST}' AS host, CAST(depth AS INT) AS depth,
+(row_number() OVER (ORDER BY depth, '{site.ROOT}' || path) - 1) * 2.0::DOUBLE AS due FROM tried
+WHERE (NOT starts_with(path, '/customer/1') OR starts_with(path, '/customer/10'))
+AND (NOT starts_with(path, '/nation/') OR path IN (SELECT '/nation/' || c_nationkey FROM buyers
+  WHERE NOT starts_with(CAST(c_custkey AS VARCHAR), '1') OR starts_with(CAST(c_custkey AS VARCHAR), '10')))""")
+def crawl_timeline_query(spark, folder):
+    """The delay of the site's robots file over the whole crawl, level after level."""
+    result = site_crawl(spark, folder, site.site_seeds(spark, "/"), B.read_robots(site.site_robots(spark)), max_depth=20)
+    return crawl_timeline(result.visited, result.seeds).select("url", "host", "depth", "due")
+
+
 @query("crawl_summary", SITE + """, other AS (SELECT 'mailto:x@shop.example.com' AS u UNION ALL SELECT 'https://other.example.org/x')
 SELECT CAST(0 AS INT) AS seed_id, (SELECT count(*) FROM tried) + 2 AS discovered, (SELECT count(*) FROM tried) AS allowed,
 (SELECT count(*) FROM tried) AS visited, (SELECT count(*) FROM crawled) AS fetched,
@@ -871,6 +918,41 @@ def crawl_and_extract(spark, folder):
     return S.read_csv(spark, {"file_path": base + "/csv"}, "`Label` STRING, `Pieces` STRING, `Amount` STRING")
 
 
+def _spec(seed: str, pattern: str, elements: str, sink: str) -> str:
+    return f"""{{"target_urls": [{{"url": "{site.ROOT}{seed}", "options": {{"only_scrape_sub_pages": true, "render_pages": false}},
+ "crawler": {{"ignore_robots_txt": true, "max_depth": 20, "allowed_domains": ["{site.HOST}"], "url_patterns": ["{pattern}"]}}}}],
+ "elements": [{elements}], "data_saving": {{"csv": {{"enabled": true, "file_path": "{sink}", "orientation": "vertical"}}}}}}"""
+
+
+TEXT_OF = '{{"name": "{0}", "search_hierarchy": [{1}], "data_parsing": {{"collect_text": true}}}}'
+WARE = TEXT_OF.format("Label", '{"css_selector": "article.ware"}, {"css_selector": "h2"}')
+COST = TEXT_OF.format("Amount", '{"css_selector": "article.ware"}, {"css_selector": "li.cost > em"}')
+NAME = TEXT_OF.format("Name", '{"css_selector": "h1"}')
+
+
+@query("jobs_many_specs", SITE + """, goods AS (SELECT * FROM part WHERE '/part/' || p_partkey IN (SELECT path FROM site))
+SELECT 'goods' AS job, p_name AS a, printf('%.2f', p_retailprice) AS b FROM goods
+UNION ALL SELECT 'labels', p_name, NULL FROM goods
+UNION ALL SELECT 'names', c_name, NULL FROM customer WHERE c_custkey IN (SELECT c_custkey FROM buyers)
+UNION ALL SELECT 'names', n_name, NULL FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM buyers)
+UNION ALL SELECT 'names', 'Order ' || o_orderkey, NULL FROM (SELECT DISTINCT o_orderkey FROM orders)""")
+def jobs_many_specs(spark, folder):
+    """Three specs in one crawl and one parse: two share their first steps, each has a sink of its own."""
+    base = scratch(spark)
+    part_way, order_way = "/(dir|order|line|part)/[^?#]*$", "/(dir|order|customer|nation)/"
+    docs = [("goods", _spec("/", part_way, f"{WARE}, {COST}", base + "/goods")), ("labels", _spec("/", part_way, WARE, base + "/labels")),
+            ("names", _spec("/", order_way, NAME, base + "/names"))]
+    specs = Workspace(spark).put(J.parse_specs(spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("spec_id"), F.lit(d).alias("spec")) for i, d in docs])))), "specs")
+    pages, _ = link_site_tables(spark, folder)
+    run_jobs(spark, specs, pages)
+    none = F.lit(None).cast("string")
+    back = {i: S.read_csv(spark, {"file_path": f"{base}/{i}"}, schema) for i, schema in (
+        ("goods", "a STRING, b STRING"), ("labels", "a STRING"), ("names", "a STRING"))}
+    return (back["goods"].select(F.lit("goods").alias("job"), "a", "b")
+            .union(back["labels"].select(F.lit("labels"), "a", none)).union(back["names"].select(F.lit("names"), "a", none)))
+
+
 # Streams -----------------------------------------------------------------------------------
 
 def _stream(spark, folder) -> DataFrame:

@@ -491,19 +491,11 @@ def node_table(shredded: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def register_shred(spark, name: str = "shred") -> None:
-    """Make the shredder a SQL table function: ``SELECT * FROM pages, LATERAL shred(html)``."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType=T.StructType(NODE.fields + [T.StructField("text", T.StringType())]))
-    class Shred:
-        def eval(self, html: str):
-            out = _Batch()
-            _add_page(out, html or "", None)
-            chunks, nodes = out.arrays()
-            words = chunks[0].as_py()
-            for node in nodes[0].as_py():
-                node["attrs"] = dict(node["attrs"])
-                yield (*(node[f] for f in NODE.names), "".join(words[node["c0"]:node["c1"]]))
+def shred_view(pages: DataFrame, name: str, *keys: str) -> None:
+    """Make the elements of ``pages`` a SQL view: ``keys``, the columns of :func:`node_table`, and ``text``.
 
-    spark.udtf.register(name, Shred)
+    The view is the Arrow stage of :func:`shred_pages` and an explode; filters on ``keys`` go below it.
+    """
+    rows = shred_pages(pages.select(*keys, "html")).select(*keys, "chunks", F.explode("nodes").alias("node"))
+    text = F.array_join(F.slice("chunks", F.col("node.c0") + 1, F.col("node.c1") - F.col("node.c0")), "")
+    rows.select(*keys, "node.*", F.element_at("node.attrs", F.lit("id")).alias("id"), text.alias("text")).createOrReplaceTempView(name)

@@ -450,26 +450,28 @@ def css_positions(nodes: Column, selector: Selector | str) -> Column:
         F.filter(nodes, lambda n: chosen.holds(n, page)), lambda n: n["pre"]))
 
 
-def path_positions(nodes: Column, steps: list[Selector | str], distinct: bool = False) -> Column:
-    """Positions reached by narrowing step by step inside every earlier match.
+def positions_inside(nodes: Column, outer: Column, selector: Selector | str) -> Column:
+    """Positions of the matches strictly inside each of the nodes at ``outer``, one after another.
 
-    Bag semantics in walk order: a node reached along k chains appears k times unless
-    ``distinct``. No steps means no matches. The matches of a step are found once per page; those
-    inside an earlier match are a slice of them.
+    All matches of the page are found once; those inside a node are a slice of them.
     """
-    if not steps:
-        return F.array().cast("array<int>")
-    none = F.array().cast("array<int>")
-
     def inside(hits: Column, at: Column) -> Column:
         low = rank(hits, lambda x: x <= at)
         return let(low, lambda low: F.slice(hits, low + 1, rank(hits, lambda x: x <= F.get(nodes, at)["last"]) - low))
 
-    def narrowed(found: Column, rest: list[Selector | str]) -> Column:
-        if not rest:
-            return found
-        return let(found, lambda outer: F.when(F.size(outer) == 0, none).otherwise(narrowed(
-            let(css_positions(nodes, rest[0]), lambda hits: F.flatten(F.transform(outer, lambda at: inside(hits, at)))), rest[1:])))
+    return let(outer, lambda found: F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(
+        let(css_positions(nodes, selector), lambda hits: F.flatten(F.transform(found, lambda at: inside(hits, at))))))
+
 
-    found = narrowed(css_positions(nodes, steps[0]), steps[1:])
+def path_positions(nodes: Column, steps: list[Selector | str], distinct: bool = False) -> Column:
+    """Positions reached by narrowing step by step inside every earlier match.
+
+    Bag semantics in walk order: a node reached along k chains appears k times unless
+    ``distinct``. No steps means no matches.
+    """
+    if not steps:
+        return F.array().cast("array<int>")
+    found = css_positions(nodes, steps[0])
+    for step in steps[1:]:
+        found = positions_inside(nodes, found, step)
     return F.array_distinct(found) if distinct else found

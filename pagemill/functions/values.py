@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: ``(node, text)`` to a value: the matched node's struct and its stripped text.
+ValueFunction = Callable[[Column, Column], Column]
+VALUE_FUNCTIONS: dict[str, ValueFunction] = {}
+
 # The characters a Unicode-aware strip removes.
 BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0          "
           "      　")
@@ -42,6 +48,20 @@ def collect_attr(node: Column, name: str | Column) -> Column:
     return F.coalesce(F.element_at(node["attrs"], key), F.lit(""))
 
 
+def register_value(name: str, function: ValueFunction) -> None:
+    """Let ``value_functions`` of a spec's element name this function; its values go to a column of their own."""
+    if not name:
+        raise ValueError("a value function needs a name")
+    VALUE_FUNCTIONS[name] = function
+
+
+def registered_value(name: str, node: Column, chunks: Column) -> Column:
+    """The value of a registered function as text, null kept."""
+    if name not in VALUE_FUNCTIONS:
+        raise ValueError(f"unknown value function {name!r}; registered: {', '.join(sorted(VALUE_FUNCTIONS)) or 'none'}")
+    return VALUE_FUNCTIONS[name](node, collect_text(node, chunks)).cast("string")
+
+
 def csv_field(value: Column, delimiter: str = ",") -> Column:
     """A value quoted for a delimited line where it needs to be; null is empty."""
     text = F.coalesce(value, F.lit(""))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dom import shred_pages
-from ..functions.selectors import parse_selector, path_positions
-from ..functions.values import collect_attr, collect_text, csv_field, inner_markup
+from ..functions.expr import let, span
+from ..functions.selectors import css_positions, parse_selector, path_positions, positions_inside
+from ..functions.values import collect_attr, collect_text, csv_field, inner_markup, registered_value
 from ..sources.specs import Rule
 from .links import anchor_hrefs, link_targets
 from .reshape import strided_rows, zip_arrays, zip_columns
@@ -44,14 +47,16 @@ def _content(rule: Rule, node: Column) -> Column | None:
 
 
 def _slots(rule: Rule) -> list[tuple[int, str]]:
-    """``(slot, output column)``: text or markup first, an attribute value in addition."""
+    """``(slot, output column)``: text or markup first, an attribute value and registered functions in addition."""
     slots = [(0, rule.name)] if rule.wants_content else []
     if rule.attr_name:
         slots.append((1, f"{rule.name} {rule.attr_name}" if rule.wants_content else rule.name))
-    return slots
+    return slots + [(2 + k, f"{rule.name} {function}") for k, function in enumerate(rule.functions)]
 
 
 def _value(rule: Rule, slot: int, node: Column) -> Column:
+    if slot > 1:
+        return registered_value(rule.functions[slot - 2], node, F.col("chunks"))
     return _content(rule, node) if slot == 0 else collect_attr(node, rule.attr_name)
 
 
@@ -60,10 +65,10 @@ def _placed(shredded: DataFrame, rules: list[Rule]) -> DataFrame:
     return shredded.select("*", *[rule_positions(r).alias(f"_at{r.element_id}") for r in rules if _slots(r)])
 
 
-def _slot_values(rule: Rule, slot: int) -> Column:
-    """Needs the columns of :func:`_placed`."""
+def _slot_values(rule: Rule, slot: int, at: str) -> Column:
+    """Values at the positions in the column ``at``."""
     nodes = F.col("nodes")
-    return F.transform(f"_at{rule.element_id}", lambda i: _value(rule, slot, F.get(nodes, i)))
+    return F.transform(at, lambda i: _value(rule, slot, F.get(nodes, i)))
 
 
 def select_rules(shredded: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -102,12 +107,12 @@ def output_columns(rules: list[Rule]) -> list[str]:
     return list(dict.fromkeys(name for r in sorted(rules, key=lambda r: r.ordinal) for _, name in _slots(r)))
 
 
-def _columns(rules: list[Rule]) -> dict[str, Column]:
-    """Value arrays by output column, in data order."""
+def _columns(rules: list[Rule], place: Callable[[Rule], str] = lambda r: f"_at{r.element_id}") -> dict[str, Column]:
+    """Value arrays by output column, in data order; ``place`` names the column of a rule's positions."""
     columns: dict[str, list[Column]] = {}
     for r in sorted(rules, key=lambda r: (r.ordinal, r.element_id)):
         for slot, name in _slots(r):
-            columns.setdefault(name, []).append(_slot_values(r, slot))
+            columns.setdefault(name, []).append(_slot_values(r, slot, place(r)))
     if not columns:
         raise ValueError("no rule collects anything")
     return {k: v[0] if len(v) == 1 else F.concat(*v) for k, v in columns.items()}
@@ -129,6 +134,47 @@ def pages_and_links(pages: DataFrame, rules: list[Rule], *keys: str) -> DataFram
     return zip_arrays(_placed(linked, rules), ["url", *keys, "targets"], list(_columns(rules).values()), "rows")
 
 
+def step_positions(shredded: DataFrame, guards: dict[tuple[str, ...], Column]) -> tuple[DataFrame, dict[tuple[str, ...], str]]:
+    """Positions of many search hierarchies at once, each shared beginning walked once per page.
+
+    ``guards`` maps every hierarchy, beginnings included, to a condition on the page's row under which it is wanted;
+    elsewhere there are no positions. Returns the frame with a column per hierarchy, and their names.
+    """
+    names = {path: f"_steps{i}" for i, path in enumerate(guards)}
+    out, nodes = shredded, F.col("nodes")
+    for depth in range(1, max(map(len, guards), default=0) + 1):
+        found = {p: css_positions(nodes, p[0]) if depth == 1 else positions_inside(nodes, F.col(names[p[:-1]]), p[-1])
+                 for p in guards if len(p) == depth}
+        none = F.array().cast("array<int>")
+        out = out.select("*", *[F.when(guards[p], c).otherwise(none).alias(names[p]) for p, c in found.items()])
+    return out, names
+
+
+def pages_for_sets(pages: DataFrame, sets: dict[int, list[Rule]], *keys: str) -> DataFrame:
+    """``(url, keys, targets, found)``: links and rows of a page for many sets of rules from one parse.
+
+    ``pages`` has ``sets``, the numbers of the sets that may want the page. ``found`` lists
+    ``(set_no, rows)``; a row is its values as text in the order of :func:`output_columns`.
+    """
+    rules = [r for own in sets.values() for r in own]
+    wanted: dict[tuple[str, ...], list[int]] = {}
+    for number, own in sets.items():
+        for r in own:
+            for k in range(1, len(r.steps) + 1) if _slots(r) else ():
+                wanted.setdefault(r.steps[:k], []).append(number)
+    guards = {p: F.arrays_overlap("sets", F.array(*[F.lit(n) for n in dict.fromkeys(numbers)])) for p, numbers in wanted.items()}
+    shredded = shred_rules(pages.select("url", *keys, "sets", "html"), rules, "href")
+    linked = shredded.withColumn("targets", link_targets(anchor_hrefs(F.col("nodes")), F.col("url")))
+    placed, names = step_positions(linked, guards)
+    found = []
+    for number, own in sets.items():
+        columns = list(_columns(own, lambda r: names[r.steps]).values())
+        rows = let(F.array(*columns), lambda lists: F.transform(
+            span(F.lit(0), F.array_max(F.transform(lists, F.size)) - 1), lambda i: F.transform(lists, lambda c: F.get(c, i))))
+        found.append(F.when(F.array_contains("sets", number), F.struct(F.lit(number).alias("set_no"), rows.alias("rows"))))
+    return placed.select("url", *keys, "targets", F.filter(F.array(*found), lambda f: f.isNotNull()).alias("found"))
+
+
 def extract_lines(shredded: DataFrame, rules: list[Rule], delimiter: str = ",") -> DataFrame:
     """The horizontal layout per page: ``(keys, ordinal, name, line)``, values of an element across."""
     lines = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), F.array_join(

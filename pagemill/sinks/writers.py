@@ -111,17 +111,28 @@ def register_sink(name: str, write: Callable[[DataFrame, dict, str], None], clea
         CLEARABLE.add(name)
 
 
+def write_source(df: DataFrame, options: dict, mode: str = "append") -> None:
+    """Write through any data source that Spark knows by the ``format`` of the options, Python ones
+    (``spark.dataSource.register``) included; all options go to its writer.
+
+    A source with commit and abort sees either all rows of a write or none. In a stream it also gets
+    ``batch_id``: one that keeps what it commits under that number takes each batch exactly once.
+    """
+    df.write.format(options["format"]).options(**options).mode(mode).save()
+
+
 def write_all(df: DataFrame, saving: dict[str, dict | None], clear: bool = True,
               workspace: Workspace | None = None) -> list[tuple[str, str]]:
     """Write to every enabled sink; returns ``(sink, outcome)`` with unknown and disabled ones.
 
     With more than one sink the table is computed once into the shared folder and read from there.
+    A sink of any other name that brings a ``format`` goes through :func:`write_source`.
     """
     plan, report = [], []
     for name, options in saving.items():
         if options is None:
             continue
-        if name not in SINKS:
+        if name not in SINKS and not options.get("format"):
             report.append((name, "unknown"))
         elif not enabled(options):
             report.append((name, "disabled"))
@@ -132,6 +143,6 @@ def write_all(df: DataFrame, saving: dict[str, dict | None], clear: bool = True,
         stored = (workspace or Workspace(df.sparkSession)).put(df.toDF(*[f"c{i}" for i in range(len(columns))]), "result")
         df = stored.toDF(*columns)
     for name, options in plan:
-        SINKS[name](df, options, "overwrite" if clear and name in CLEARABLE else "append")
+        SINKS.get(name, write_source)(df, options, "overwrite" if clear and name in CLEARABLE else "append")
         report.append((name, "written"))
     return report

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import let
 from ..functions.urls import normalize_url, url_domain
+from ..functions.values import VALUE_FUNCTIONS
 
 SPEC_SCHEMA = """
 target_urls ARRAY<STRUCT<url: STRING,
@@ -23,7 +24,7 @@ elements ARRAY<STRUCT<name: STRING, css_selector: STRING, tag: STRING,
     attributes: ARRAY<STRUCT<name: STRING, value: STRING, css_selector: STRING>>,
     search_hierarchy: ARRAY<STRUCT<name: STRING, value: STRING, css_selector: STRING>>,
     data_parsing: STRUCT<collect_text: BOOLEAN, remove_tags: BOOLEAN,
-                         collect_attr_value: STRUCT<attr_name: STRING>>>>,
+                         collect_attr_value: STRUCT<attr_name: STRING>, value_functions: ARRAY<STRING>>>>,
 data_saving MAP<STRING, MAP<STRING, STRING>>,
 data_order ARRAY<STRING>
 """
@@ -84,6 +85,14 @@ def saving_options(spec: DataFrame) -> dict[str, dict[str, str]]:
     return {sink: dict(options) for sink, options in entries if options is not None}
 
 
+def saving_by_spec(specs: DataFrame) -> dict[str, dict[str, dict[str, str]]]:
+    """:func:`saving_options` of every spec, by the text of its id; ids must differ."""
+    rows = specs.select(F.col("spec_id").cast("string"), F.map_entries("data_saving").alias("saving")).collect()
+    if len({r["spec_id"] for r in rows}) != len(rows):
+        raise ValueError("spec ids must differ")
+    return {r["spec_id"]: {sink: dict(o) for sink, o in r["saving"] or [] if o is not None} for r in rows}
+
+
 def option_warnings(specs: DataFrame) -> DataFrame:
     """One row per option that a target leaves out, with the default used instead."""
     missing = F.filter(
@@ -214,6 +223,7 @@ def spec_rules(specs: DataFrame) -> DataFrame:
             parsing["collect_attr_value"].isNotNull().alias("wants_attr"),
             F.when(parsing["collect_attr_value"]["attr_name"] != "",
                    F.lower(parsing["collect_attr_value"]["attr_name"])).alias("attr_name"),
+            F.array_distinct(F.coalesce(parsing["value_functions"], F.array().cast("array<string>"))).alias("functions"),
             (F.array_position("order", F.get("names", F.col("element_id"))) - 1).cast("int").alias("ordinal"),
         )
     )
@@ -235,15 +245,38 @@ class Rule:
     remove_tags: bool = False
     attr_name: str | None = None
     ordinal: int = field(default=0, compare=False)
+    functions: tuple[str, ...] = ()        # registered value functions, see ``values.register_value``
 
     @property
     def wants_content(self) -> bool:
         return self.collect_text or self.remove_tags
 
 
+def _as_rule(r: Row) -> Rule:
+    return Rule(r.element_id, r.name, tuple(r.steps), r.collect_text, r.remove_tags, r.attr_name, r.ordinal, tuple(r.functions))
+
+
+def _check_functions(rows: list[Row]) -> None:
+    unknown = {f for r in rows for f in r.functions} - set(VALUE_FUNCTIONS)
+    if unknown:
+        raise ValueError(f"value functions that are not registered: {', '.join(sorted(unknown))}")
+
+
 def load_rules(rules: DataFrame) -> list[Rule]:
     """The rules of one spec in output order: a document that someone wrote, which the driver
-    compiles into a plan."""
+    compiles into a plan. A value function that is not registered is an error."""
     rows = rules.orderBy("ordinal", "element_id").collect()
-    return [Rule(r.element_id, r.name, tuple(r.steps), r.collect_text, r.remove_tags, r.attr_name, r.ordinal)
-            for r in rows]
+    _check_functions(rows)
+    return [_as_rule(r) for r in rows]
+
+
+def load_rule_sets(rules: DataFrame) -> tuple[dict[int, list[Rule]], dict[str, int]]:
+    """The rules of many specs: the different sets of rules by number, and the number for the text of each spec id."""
+    rows = rules.orderBy("spec_id", "ordinal", "element_id").collect()
+    _check_functions(rows)
+    by_spec: dict[str, list[Rule]] = {}
+    for r in rows:
+        by_spec.setdefault(str(r.spec_id), []).append(_as_rule(r))
+    numbers: dict[tuple, int] = {}
+    set_of = {s: numbers.setdefault(tuple((r, r.ordinal) for r in own), len(numbers)) for s, own in by_spec.items()}
+    return {n: [r for r, _ in key] for key, n in numbers.items()}, set_of

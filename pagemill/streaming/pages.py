@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.urls import normalize_url
+from ..functions.dom import page_hrefs
+from ..functions.urls import normalize_url, url_domain, url_in_domains, url_matches_any
 from ..operators.extract import drop_seed_pages, extract_table, shred_rules
+from ..operators.links import link_targets
 from ..plans.job import check_saving, save_table
+from ..sources.robots import rules_allow
 from ..sources.specs import Rule, load_rules, one_spec, saving_options, spec_rules, spec_seeds
 from ..storage import Workspace
 
@@ -46,6 +49,29 @@ def stream_new_urls(pages: DataFrame, event_time: str | None = None, delay: str
     return pages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url"])
 
 
+def stream_frontier(pages: DataFrame, settings: DataFrame, event_time: str, delay: str = "30 days",
+                    visited: DataFrame | None = None) -> DataFrame:
+    """``(seed_id, url, event_time)``: allowed link targets of arriving pages, each the first time it is met.
+
+    ``pages`` is a stream of ``(url, html, event_time)``; ``settings`` comes from ``crawl.attach_robots``. A
+    page counts for every seed that allows its domain. The state holds a seed's URL until the
+    watermark is ``delay`` past it, so it follows the URLs met in that time and not the age of the crawl; a
+    target met again later is given out again. ``visited`` (``seed_id``, ``url``) is left out. All of it
+    runs in the JVM but for the link scan, and a restart goes on from the checkpoint.
+    """
+    domains = settings.select("seed_id", F.explode("allowed_domains").alias("_domain")).distinct()
+    found = page_hrefs(pages.filter("html IS NOT NULL").select(normalize_url(F.col("url")).alias("url"), event_time, "html"))
+    hits = found.select(event_time, url_domain(F.col("url")).alias("_domain"),
+                        link_targets(F.col("hrefs"), F.col("url")).alias("targets")).join(domains, "_domain")
+    limits = settings.select("seed_id", "allowed_domains", "url_patterns", "rules", "denied")
+    links = (hits.join(limits, "seed_id").withColumn("url", F.explode("targets"))
+             .filter(url_matches_any(F.col("url"), F.col("url_patterns")) & url_in_domains(F.col("url"), F.col("allowed_domains")))
+             .filter(~F.col("denied") & rules_allow(F.col("url"), F.col("rules"))).select("seed_id", "url", event_time))
+    if visited is not None:
+        links = links.join(visited.select("seed_id", "url"), ["seed_id", "url"], "left_anti")
+    return links.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["seed_id", "url"])
+
+
 def stream_to_files(table: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", **options) -> StreamingQuery:
     """Append each micro-batch once; processes what is there and stops."""
     return (table.writeStream.format(fmt).options(**options).option("checkpointLocation", checkpoint)
@@ -69,7 +95,8 @@ def stream_job(spark: SparkSession, spec_path: str, pages: DataFrame, checkpoint
     """Arriving pages ``(url, html)`` to all sinks of a spec, without pages of flagged seeds.
 
     Sinks that write files get a folder ``batch=<n>`` per micro-batch, replaced when a batch is
-    retried; others (a database, registered ones) are appended to, at least once.
+    retried; others (a database, registered ones) are appended to, at least once, and learn the
+    ``batch_id``, by which a data source with commits can take each batch once.
     """
     spec = one_spec(spark, spec_path)
     rules, saving = load_rules(spec_rules(spec)), saving_options(spec)
@@ -78,7 +105,7 @@ def stream_job(spark: SparkSession, spec_path: str, pages: DataFrame, checkpoint
     table = extract_table(shred_rules(drop_seed_pages(arriving, spec_seeds(spec)), rules), rules)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        own = {sink: {**o, "file_path": f"{o['file_path']}/batch={batch_id}"} if o.get("file_path") else o
+        own = {sink: {**o, "file_path": f"{o['file_path']}/batch={batch_id}"} if o.get("file_path") else {**o, "batch_id": str(batch_id)}
                for sink, o in saving.items()}
         save_table(batch, own, True, Workspace(batch.sparkSession))
 

@@ -7,18 +7,21 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from pagemill.operators import chunks as K
 from pagemill.operators import reshape as R
 from pagemill.operators.extract import (
     apply_rules, drop_seed_pages, extract_lines, extract_strided, extract_table, shred_rules)
 from pagemill.operators.ranks import group_rank, running_total
-from pagemill.operators.schedule import crawl_schedule
+from pagemill.functions.values import register_value
+from pagemill.operators.schedule import crawl_schedule, crawl_timeline
 from pagemill.plans.job import run_job
+from pagemill.plans.jobs import run_jobs
 from pagemill.sinks import writers as S
 from pagemill.sources import pages as P
 from pagemill.sources.pages import failed_fetches, fetch_pages, latest_pages, response_gate, status_report
-from pagemill.sources.specs import Rule
+from pagemill.sources.specs import Rule, load_rules, parse_specs, spec_rules
 from pagemill.storage import Workspace
 from pagemill.streaming import pages as T
 
@@ -145,6 +148,163 @@ def test_schedule(spark):
     assert got == {"http://a/1": 0.0, "http://a/2": 2.0, "http://b/1": 0.0, "http://b/2": 5.0, "http://b/3": 4.0}
 
 
+def test_timeline_over_levels(spark):
+    rows = [(0, "http://a/s", 0), (0, "http://a/1", 1), (0, "http://a/2", 1), (0, "http://a/3", 1), (0, "http://b/1", 1), (0, "http://b/2", 2),
+            (0, "http://a/4", 2), (1, "http://a/9", 0), (1, "http://c/1", 1), (1, "http://c/2", 1)]
+    found = spark.createDataFrame(rows, "seed_id int, url string, depth int")
+    delays = spark.createDataFrame([(0, 2.0), (1, None)], "seed_id int, crawl_delay double")
+    got = {(r.seed_id, r.url): (r.host, r.due) for r in crawl_timeline(found, delays).collect()}
+    assert got == {(0, "http://a/s"): ("a", 0.0), (0, "http://a/1"): ("a", 2.0), (0, "http://a/2"): ("a", 4.0), (0, "http://a/3"): ("a", 6.0),
+                   (0, "http://b/1"): ("b", 2.0), (0, "http://b/2"): ("b", 8.0), (0, "http://a/4"): ("a", 8.0),
+                   (1, "http://a/9"): ("a", 0.0), (1, "http://c/1"): ("c", 0.0), (1, "http://c/2"): ("c", 0.0)}
+    assert crawl_timeline(found.limit(0), delays).count() == 0
+
+
+def test_registered_values(spark):
+    register_value("size", lambda node, text: F.length(text))
+    rules = [Rule(0, "P", ("p",), functions=("size",)), Rule(1, "A", ("a",), collect_text=True, attr_name="href", functions=("size",))]
+    table = extract_table(shred_rules(spark.createDataFrame(SHOP, "url string, html string"), rules), rules)
+    assert table.columns == ["url", "row_ord", "P size", "A", "A href", "A size"]
+    assert sorted(tuple(r) for r in table.collect())[0] == ("u0", 1, "1", "t", "k", "1")
+    bad = '{"elements":[{"name":"x","css_selector":"p","data_parsing":{"value_functions":["nobody"]}}]}'
+    with pytest.raises(ValueError, match="nobody"):
+        load_rules(spec_rules(parse_specs(spark.createDataFrame([(0, bad)], "spec_id int, spec string"))))
+
+
+def test_stream_frontier_restarts_and_forgets(spark):
+    from pagemill.plans import crawl as C
+    ws = Workspace(spark)
+    seeds = C.make_seeds(spark.createDataFrame([(0, "http://h/"), (1, "http://h/")], "seed_id int, url string"), url_patterns=["[a-d]$"])
+    settings = C.attach_robots(seeds.withColumn("allowed_domains", F.when(F.col("seed_id") == 0, F.array(F.lit("h"), F.lit("g"))).otherwise(
+        F.array(F.lit("h")))), None)
+    visited = spark.createDataFrame([(0, "http://h/b")], "seed_id int, url string")
+    schema = "url string, html string, at timestamp"
+
+    def arrive(n, *rows):
+        data = [(u, "".join(f'<a href="{h}">x</a>' for h in hrefs), t) for u, hrefs, t in rows]
+        spark.createDataFrame(data, "url string, html string, t long").select(
+            "url", "html", F.timestamp_seconds("t").alias("at")).coalesce(1).write.parquet(f"{ws.path}/in/{n}")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{ws.path}/in")
+        out = T.stream_frontier(stream, settings, "at", "1 hour", visited)
+        query = T.stream_to_files(out.select("seed_id", "url"), f"{ws.path}/out", f"{ws.path}/state")
+        query.awaitTermination()
+        return query.lastProgress
+
+    def got():
+        return sorted(tuple(r) for r in spark.read.parquet(f"{ws.path}/out").collect())
+
+    arrive(0, ("http://h/", ["/a", "/b", "/e", "//g/c", "/a"], 1), ("http://x/", ["http://h/d"], 1), ("HTTP://H/x", ["/a", "/d"], 5))
+    run()
+    first = [(0, "http://g/c"), (0, "http://h/a"), (0, "http://h/d"), (1, "http://h/a"), (1, "http://h/b"), (1, "http://h/d")]
+    assert got() == first
+    arrive(1, ("http://h/y", ["/a", "/c"], 10), ("http://h/z", ["/d"], 90_000))
+    run()
+    assert got() == sorted([*first, (0, "http://h/c"), (1, "http://h/c")])
+    arrive(2, ("http://h/w", ["/c"], 180_000))
+    arrive(3, ("http://h/w", ["/a"], 180_001))
+    progress = run()                     # a day later everything older is forgotten
+    assert sum(s["numRowsTotal"] for s in progress["stateOperators"]) <= 6
+    assert got().count((0, "http://h/a")) == 2
+
+
+def test_many_specs_at_once_agree_with_one_by_one(spark):
+    ws = Workspace(spark)
+    rows = [("http://h/", '<a href="/a">x</a><a href="/b">y</a>'), ("http://h/a", "<div class=w><p>1<p>2</div><h1>A</h1><a href=/b#f>z</a>"),
+            ("http://h/b", "<h1>B</h1>"), ("http://g/", '<a href="c">x</a><h1>G</h1>'), ("http://g/c", "<div class=w><p>3</div><h1>C</h1>")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    heading = {"name": "H", "css_selector": "h1", "data_parsing": {"collect_text": True}}
+    item = {"name": "P", "search_hierarchy": [{"css_selector": ".w"}, {"css_selector": "p"}], "data_parsing": {"collect_text": True, "remove_tags": True}}
+    box = {"name": "W", "search_hierarchy": [{"css_selector": ".w"}], "data_parsing": {"remove_tags": True}}
+
+    def spec(i, elements, *urls, sub=False):
+        saving = {"csv": {"file_path": f"{ws.path}/out-{i}", "orientation": "vertical"}}
+        return (i, json.dumps({"target_urls": [{"url": u, "options": {"only_scrape_sub_pages": sub}} for u in urls], "elements": elements,
+                               "data_saving": saving if i != "quiet" else {}}))
+
+    specs = [spec("one", [heading, item], "http://h/", sub=True), spec("two", [item, heading], "http://g/", "http://h/a"),
+             spec("same", [heading, item], "http://g/"), spec("quiet", [box], "http://h/b", "http://g/")]
+    done = run_jobs(spark, parse_specs(spark.createDataFrame(specs, "spec_id string, spec string")), pages)
+    assert set(done.sinks) == {"one", "two", "same"}
+    for name, text in specs:
+        spark.createDataFrame([(text,)], "v string").coalesce(1).write.text(f"{ws.path}/spec-{name}")
+        alone = run_job(spark, f"{ws.path}/spec-{name}", pages, write=False).table
+        assert done.tables[name].columns == alone.columns
+        want = sorted((tuple(r) for r in alone.collect()), key=str)
+        assert sorted((tuple(r) for r in done.tables[name].collect()), key=str) == want
+        assert want or name == "quiet"
+        if name in done.sinks:
+            assert S.read_csv(spark, {"file_path": f"{ws.path}/out-{name}"}, ", ".join(f"`{c}` STRING" for c in alone.columns[2:])).count() == len(want)
+
+
+def committed():
+    """A local class travels with the plan."""
+    class Staged(WriterCommitMessage):
+        """Where a task left its rows."""
+
+    class Committed(DataSource):
+        """A sink in Python: rows are staged by the tasks and appear together when the write commits, once per batch number."""
+
+        @classmethod
+        def name(cls):
+            return "committed"
+
+        def writer(self, schema, overwrite):
+            folder, number = self.options["path"], self.options.get("batch_id", "0")
+
+            class Writer(DataSourceWriter):
+                def write(self, rows):
+                    from pyspark import TaskContext
+                    staged = f"{folder}/staged-{number}-{TaskContext.get().taskAttemptId()}"
+                    with open(staged, "w") as out:
+                        for row in rows:
+                            if "bad" in row:
+                                raise ValueError("bad row")
+                            out.write(json.dumps(list(row)) + "\n")
+                    message = Staged()
+                    message.path = staged
+                    return message
+
+                def commit(self, messages):
+                    with open(f"{folder}/batch-{number}", "w") as out:
+                        for staged in messages:
+                            out.write(open(staged.path).read())
+
+                def abort(self, messages):
+                    open(f"{folder}/aborted-{number}", "w").close()
+
+            return Writer()
+
+    return Committed
+
+
+def test_data_sources_are_sinks(spark, tmp_path):
+    spark.dataSource.register(committed())
+    saving = {"mine": {"format": "committed", "path": str(tmp_path)}, "nobody": {}}
+    rows = spark.range(20).selectExpr("cast(id as string) AS a").repartition(3)
+    assert S.write_all(rows, saving) == [("nobody", "unknown"), ("mine", "written")]
+    back = [json.loads(x)[0] for x in (tmp_path / "batch-0").read_text().split()]
+    assert sorted(back, key=int) == [str(i) for i in range(20)]
+    with pytest.raises(Exception, match="bad row"):
+        S.write_all(spark.createDataFrame([("bad",)], "a string"), {"mine": {**saving["mine"], "batch_id": "7"}})
+    assert (tmp_path / "aborted-7").exists() and not (tmp_path / "batch-7").exists()
+
+
+def test_stream_job_to_a_data_source(spark, tmp_path):
+    spark.dataSource.register(committed())
+    ws = Workspace(spark)
+    spec = {"target_urls": [{"url": "http://h/"}], "elements": [{"name": "H", "css_selector": "h1", "data_parsing": {"collect_text": True}}],
+            "data_saving": {"mine": {"format": "committed", "path": str(tmp_path)}}}
+    spark.createDataFrame([(json.dumps(spec),)], "v string").coalesce(1).write.text(f"{ws.path}/spec")
+    for n in range(2):
+        spark.createDataFrame([(f"http://h/{n}", f"<h1>{n}</h1>")], "url string, html string").coalesce(1).write.parquet(f"{ws.path}/in/{n}")
+        stream = spark.readStream.schema("url string, html string").option("recursiveFileLookup", "true").parquet(f"{ws.path}/in")
+        T.stream_job(spark, f"{ws.path}/spec", stream, f"{ws.path}/state").awaitTermination()
+        assert [json.loads(x) for x in (tmp_path / f"batch-{n}").read_text().split()] == [[str(n)]]
+    assert sorted(p.name for p in tmp_path.glob("batch-*")) == ["batch-0", "batch-1"]
+
+
 def test_responses(spark):
     pages = spark.createDataFrame([("a", "x", 200), ("b", "y", -1), ("c", "z", 404), ("e", "w", None)], "url string, html string, status int")
     fetched = fetch_pages(spark.createDataFrame([(u,) for u in "abcde"], "url string"), pages)
