@@ -103,13 +103,15 @@ def learn_rules(x: dict[str, np.ndarray], poor: np.ndarray, precision: float = 0
     the highest information gain (over up to ``cuts`` quantiles of each feature) until no good text
     is covered. Pruning drops last tests while that does not lower (poor - good) / (poor + good) on
     the other rows. A rule stays if it covers ``least`` poor texts and at least ``precision`` of
-    what it covers is poor, on all rows and on the pruning rows; else learning ends. So rules speak
-    only where the labels are clear, and everything else is kept.
+    what it covers is poor, on all rows and on the pruning rows. Of a refused rule the first test's
+    feature and direction begin no further rule until one has been accepted; learning ends when none is
+    left to begin with. So rules speak only where the labels are clear, and everything else is kept.
     """
     names = list(x)
     data = np.column_stack([x[n] for n in names]) if names else np.empty((len(poor), 0))
     prune = np.arange(len(poor)) % 3 == 2
     open_, rules = np.ones(len(poor), bool), []
+    refused: set[tuple[str, bool]] = set()
     while (open_ & poor & ~prune).sum() >= least:
         grow, tests = open_ & ~prune, []
         while (grow & ~poor).any() and len(tests) < most_tests:
@@ -123,6 +125,8 @@ def learn_rules(x: dict[str, np.ndarray], poor: np.ndarray, precision: float = 0
                 order = np.sort(data[grow & poor, f]), np.sort(data[grow & ~poor, f])
                 below = [np.searchsorted(o, mids, "left") for o in order]
                 for above in (True, False):
+                    if not tests and (names[f], above) in refused:
+                        continue
                     tp = p - below[0] if above else below[0]
                     fp = q - below[1] if above else below[1]
                     with np.errstate(divide="ignore", invalid="ignore"):
@@ -153,8 +157,12 @@ def learn_rules(x: dict[str, np.ndarray], poor: np.ndarray, precision: float = 0
         held = hit & prune
         if not size or good < least or good < precision * (good + bad) or \
                 (held & poor).sum() < precision * held.sum():
-            break
+            if not tests:
+                break
+            refused.add(tests[0][0][:2])
+            continue
         rules.append(Rule(tuple(t for t, _ in tests[:size])))
+        refused.clear()
         open_ &= ~hit
     return rules
 
@@ -167,26 +175,37 @@ def decision(rules: list[Rule], of: dict[str, Column]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def fit(stats: DataFrame, labels: DataFrame, most: int = 20_000, doc_id: str = "doc_id",
-        quality: str = "quality") -> list[Rule]:
-    """Rules from the labelled rows of ``stats (doc_id, COUNTS)``.
+def labelled(labels: DataFrame, most: int = 20_000, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """``(doc_id, quality)`` of at most about a quarter more than ``most`` labels, chosen by a hash of the id.
 
-    At most ``most`` labelled rows come to the driver, chosen by a hash of their id: a bounded sample that no order or partitioning changes. Rows with a null id or quality are no
-    labels; repeated labels count as often as they come. No labels: no rules.
+    Rows with a null id or quality are no labels; repeated labels count as often as they come.
     """
     given = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("quality")).dropna()
+    return given.filter(hash_share("doc_id", given.count(), most))
+
+
+def base_failed() -> Column:
+    """Under 50 words, or over half of them in repeated windows of three."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def fit(stats: DataFrame, given: DataFrame, most: int = 20_000) -> list[Rule]:
+    """Rules from the labelled rows of ``stats (doc_id, COUNTS)`` that pass the base.
+
+    Texts that the base refuses need no rule and would only teach the base again. At most ``most``
+    rows of ``given``, from :func:`labelled`, come to the driver: a bounded sample that no order or
+    partitioning changes. No labels: no rules.
+    """
     of = features()
-    given = given.filter(hash_share("doc_id", given.count(), most))
-    rows = (stats.join(given, "doc_id").select(
+    rows = (stats.filter(~base_failed()).join(given, "doc_id").select(
         F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *[c.alias(f"f_{n}") for n, c in of.items()])
         .orderBy("h", *[f"f_{n}" for n in of], "quality").limit(most).toPandas())
     return learn_rules({n: rows[f"f_{n}"].to_numpy(float) for n in of}, rows["quality"].to_numpy() == 0)
 
 
 def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds ``base_failed`` (under 50 words, or over half of them in repeated windows of three) and
-    ``kept`` (passed the base and no rule speaks against it)."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    """Adds :func:`base_failed` and ``kept`` (passed the base and no rule speaks against it)."""
+    failed = base_failed()
     return stats.select("*", failed.alias("base_failed"), (~failed & decision(rules, features())).alias("kept"))
 
 
@@ -203,7 +222,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, ws: Workspace, doc_id:
     """
     own = boxed(docs, doc_id=doc_id, text=text).select("doc_id", *row_key("doc_id", "text"), "text")
     stats = ws.put(text_statistics(own), "statistics")
-    return judged(stats, fit(stats, labels))
+    return judged(stats, fit(stats, labelled(labels)))
 
 
 def tables(spark, folder: str) -> DataFrame:
@@ -218,10 +237,11 @@ def op1(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """The pipeline's stage: documents that the rules keep. The statistics pass and the filter both
-    read the texts in place; nothing but the verdict is joined."""
+    """The pipeline's stage: documents that the rules keep. Texts stay in place: the rules come from the
+    statistics of the labelled sample, then one pass counts and filters."""
     ws = Workspace(spark)
     own = boxed(docs, doc_id="doc_id", text="text").select("row", "doc_id", "text")
-    stats = ws.put(text_statistics(own.select("doc_id", "text")), "statistics")
-    rules = fit(stats, tables(spark, folder))
+    given = ws.put(labelled(tables(spark, folder)), "labelled")
+    sample = own.select("doc_id", "text").join(given.select("doc_id").distinct(), "doc_id", "left_semi")
+    rules = fit(text_statistics(sample), given)
     return unboxed(judged(text_statistics(own), rules).filter("kept"), docs.columns)
