@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import group_rank
 from ..storage import Workspace
-from .common import boxed, raw, ship, slices
+from .common import boxed, raw, row_key, ship, slices
 from .suffix_runs import WIDTH, Hashes, runs
 
 ship(__name__)
@@ -21,12 +22,16 @@ DEALT = "kind int, bucket int, n int, blob binary"
 GATHER = 1_000_000
 #: Bytes of a long text that are hashed at once.
 PART = 2 << 20
+#: Bytes of text that a bucket stands for.
+BUCKET_BYTES = 32 << 20
+#: Types of ids that order documents.
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 #: Second hashes keep 32 bits: with the first one 96 bits tell windows apart.
 LOW = np.int64(0xFFFFFFFF)
 
 
 def place(tag: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A document's tag (24 bits), the first window (31 bits) and the number of windows (8 bits)."""
+    """A text's number under its id (24 bits), the first window (31 bits) and the number of windows (8 bits)."""
     return (tag << np.int64(39)) | (at << np.int64(8)) | n
 
 
@@ -306,6 +311,18 @@ def order_key(doc_id: Column, text: Column) -> Column:
         F.lit((1 << 61) - 1).cast("long")))
 
 
+def text_numbers(keys: DataFrame, ws: Workspace) -> DataFrame:
+    """``(ord, k1, k2, number)`` of the texts of ids that have several; empty for a table of unique ids."""
+    key = F.struct("k1", "k2")
+    several = keys.groupBy("ord").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("ord")
+    shared = keys.join(several, "ord", "left_semi").select("ord", "k1", "k2").distinct()
+    numbered = ws.put(group_rank(shared, ["ord"], ["k1", "k2"], "number", ws), "numbers")
+    most = numbered.agg(F.max("number")).first()[0]
+    if most is not None and most >> 24:
+        raise ValueError(f"{most + 1} different texts under one document id; the limit is {1 << 24}")
+    return numbered
+
+
 def drop_repeats(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text",
                  width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256)`` of every row of ``docs``.
@@ -328,16 +345,26 @@ def drop_repeats(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: s
     several runs sends one marker), so a passage that a third of all documents share sends one row
     per map batch. Rows travel in compressed blocks per bucket.
 
-    A null text is empty, and texts shorter than ``width`` lose nothing. Rows that repeat a doc_id
-    with another text are told apart by 24 bits of a text hash and follow each other in its order;
-    rows equal in id and text are one document and get the same result. A null id stands after
-    all others. Texts must be shorter than 2 GB. An empty table gives an empty one.
+    A null text is empty, and texts shorter than ``width`` lose nothing. Texts that share a doc_id
+    are numbered in the order of their 128-bit hashes and follow each other in it (at most 2**24
+    of them under one id, an error otherwise); rows equal in id and text are one document and get the
+    same result. A null id stands after all others. ``doc_id`` is an integer; another type is refused by
+    name. Texts must be shorter than 2 GB. An empty table gives an empty one.
+
+    A bucket stands for about ``BUCKET_BYTES`` of text; a task handles one after another, so its memory
+    does not follow the size of the table.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = boxed(docs, doc_id=doc_id, text=text).select(
-        "doc_id", "text", order_key(F.col("doc_id"), F.col("text")).alias("ord"),
-        F.xxhash64(F.lit(3), "text").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"))
+    boxed_docs = boxed(docs, doc_id=doc_id, text=text)
+    if boxed_docs.schema["doc_id"].dataType.simpleString() not in INTEGERS:
+        raise TypeError(f"{doc_id} orders the documents and must be an integer, not "
+                        f"{boxed_docs.schema['doc_id'].dataType.simpleString()}")
+    own = boxed_docs.select("doc_id", "text", order_key(F.col("doc_id"), F.col("text")).alias("ord"), *row_key("text"))
+    keys = ws.put(own.select("ord", "k1", "k2", F.octet_length("text").alias("size")), "keys")
+    bytes_ = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // BUCKET_BYTES))
+    own = own.join(text_numbers(keys, ws), ["ord", "k1", "k2"], "left").select(
+        "doc_id", "text", "ord", F.coalesce("number", F.lit(0)).cast("long").alias("tag"))
     texts = own.select("ord", "tag", "text")
 
     def sorted_by_bucket(df: DataFrame) -> DataFrame:
