@@ -10,32 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, raw, ship, slices
+from .license_texts import TEMPLATES
 
 ship(__name__)
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates: ``[[...]]`` is optional, ``{{n}}`` stands for up to n replaceable words.
-TEMPLATES = {
-    "apache-2.0": ["[[this work is]] licensed under the apache license version 2 0"],
-    "gpl-3.0": ["[[this {{2}} is]] [[free software]] licensed under the gnu general public license version 3 [[0]] [[or later]]",
-                "under the terms of the gnu general public license as published by the free software foundation "
-                "either version 3 [[of the license]] [[or at your option any later version]]"],
-    "gpl-2.0": ["[[this {{2}} is]] licensed under the gnu general public license version 2 [[0]] [[or later]]",
-                "under the terms of the gnu general public license as published by the free software foundation "
-                "either version 2 [[of the license]] [[or at your option any later version]]"],
-    "cc-by-4.0": ["[[this {{2}} is]] licensed under cc by 4 0",
-                  "licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-nc-4.0": ["[[this {{2}} is]] licensed under cc by nc 4 0"],
-    "cc-by-sa-4.0": ["[[this {{2}} is]] licensed under cc by sa 4 0"],
-    "mit": ["[[this {{2}} is]] [[released]] [[licensed]] under the mit license",
-            "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-            "associated documentation files the {{1}} to deal in the {{1}} without restriction"],
-    "bsd-3-clause": ["redistribution and use in source and binary forms with or without modification are permitted "
-                     "provided that the following conditions are met {{80}} neither the name of {{12}} nor the names "
-                     "of its contributors may be used to endorse or promote products"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is "
-            "hereby granted"],
-}
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
