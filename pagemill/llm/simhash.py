@@ -51,6 +51,46 @@ def fingerprint_batches(width: int):
     return run
 
 
+#: Members of a group that are compared block by block; a larger group is indexed once more.
+DENSE = 1024
+
+
+def block_links(fp: np.ndarray, bits: int) -> np.ndarray:
+    """Links that connect up to :data:`DENSE` distinct fingerprints, at most two for each."""
+    near = np.bitwise_count(fp[:, None] ^ fp) <= bits
+    if near.sum() <= 5 * len(fp):                # few links are given as they are, many as a spanning forest
+        child, parent = np.nonzero(near)
+        return np.column_stack([fp[child], fp[parent]])[child > parent]
+    return fp[spanning(len(fp), lambda a, b: near[np.ix_(a, b)])]
+
+
+def group_links(fp: np.ndarray, low: bool, bits: int) -> Iterator[np.ndarray]:
+    """Links (child, parent) that connect one group: fingerprints about equal in one half.
+
+    Members that differ in at most 5 bits differ, in the other half, in at most 2 bits of one of its
+    16-bit parts. A large group is entered once more under all values within 1 bit of those parts,
+    as in :func:`link_fingerprints`, so that only members that are close there as well are compared.
+    ``low`` tells whether the group agrees in the low half.
+    """
+    if len(fp) <= DENSE:
+        yield block_links(fp, bits)
+        return
+    other = (fp >> np.uint64(32) if low else fp & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    masks = np.array([0, *[1 << i for i in range(16)]], np.uint32)
+    for shift in (0, 16):
+        part = other >> np.uint32(shift) & np.uint32(0xFFFF)
+        key = (part[:, None] ^ masks).ravel()
+        order = np.argsort(key, kind="stable")
+        own, ranked = np.repeat(fp, len(masks))[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        for at, n in zip(first.tolist(), np.diff(np.append(first, len(own))).tolist(), strict=True):
+            near = own[at:at + n]
+            if 1 < n <= DENSE:
+                yield block_links(near, bits)
+            elif n > DENSE:
+                yield near[spanning(n, lambda a, b, near=near: np.bitwise_count(near[a][:, None] ^ near[b]) <= bits)]
+
+
 def ball_links(bits: int):
     """The Arrow stage over (key, fp) sorted by key: links of fingerprints that differ in few bits."""
 
@@ -63,9 +103,7 @@ def ball_links(bits: int):
             near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits
             found = [np.column_stack([fp[two][near], fp[two + 1][near]])]
             for at, n in zip(first[count > 2], count[count > 2], strict=True):
-                own = fp[at:at + n]
-                pairs = spanning(n, lambda a, b, own=own: np.bitwise_count(own[a][:, None] ^ own[b]) <= bits)
-                found.append(own[pairs])
+                found += group_links(fp[at:at + n], bool(block["key"][at] >> 32 == 0), bits)
             links = np.concatenate(found).view(np.int64)
             if len(links):
                 yield pa.RecordBatch.from_arrays(
@@ -80,8 +118,9 @@ def link_fingerprints(table: DataFrame, bits: int = 4) -> DataFrame:
     The fingerprint has two segments of 32 bits. Two that differ in at most 5 bits differ in at
     most 2 bits of one segment. Every fingerprint is entered under all values within 1 bit of its
     segments (33 each), and two values at distance 2 share such a value, so probing and the table
-    are one: rows under the same value are compared in full. Within one value the links are a
-    spanning forest, not all pairs, and every part of the exact graph stays connected.
+    are one: rows under the same value are compared in full, large groups after :func:`group_links` has
+    told them apart by the other segment. Within one value the links are a spanning forest, not all
+    pairs, and every part of the exact graph stays connected.
     """
     balls = [F.struct(F.lit(s).alias("s"), F.lit(m).cast("long").alias("m"))
              for s in (0, 1) for m in [0, *[1 << i for i in range(32)]]]

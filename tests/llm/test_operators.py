@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import (
-    chats, license_scan, line_dedup, mixing, pieces, quality, simhash, suffix_dedup, suffix_runs, url_filter, vector_dedup)
+    chats, license_scan, license_texts, line_dedup, mixing, pieces, quality, simhash, suffix_dedup, suffix_runs, url_filter, vector_dedup)
+from pagemill.llm.common import row_key
 from pagemill.llm.components import connected_components
 from pagemill.storage import Workspace
 
@@ -76,6 +79,19 @@ def test_quality_statistics(spark, docs, none):
     assert quality.quality_verdicts(none, labels.limit(0), Workspace(spark)).count() == 0
 
 
+def test_quality_stage(spark, docs, none, monkeypatch):
+    """Null ids, repeated rows and clashing columns pass through; what the base refuses goes."""
+    labels = spark.createDataFrame([(0, 0), (None, 1), (4, None), (11, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "tables", lambda *_: labels)
+    clash = docs.select("*", *[F.lit(2).alias(c) for c in ("quality", "h", "kept", "base_failed", "n_symbols", "f_n_words")])
+    out = quality.stage(spark, clash, "")
+    assert out.columns == clash.columns
+    assert got(out, "doc_id", "text") == Counter((i, t) for i, t, _ in ROWS if not B.quality(t)[-1])
+    assert quality.stage(spark, none, "").count() == 0
+    monkeypatch.setattr(quality, "tables", lambda *_: labels.limit(0))
+    assert quality.stage(spark, clash, "").count() == out.count()
+
+
 def test_quality_rules_hold_out():
     rng = np.random.default_rng(5)
     x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
@@ -226,6 +242,53 @@ def test_license_templates():
         license_scan.Automaton([("x", "{{2}} words")])
 
 
+def filled(template: str, rng: random.Random) -> tuple[list[str], list[int]]:
+    """A text that the template accepts, and which of its words are mandatory."""
+    words, fixed, inside = [], [], None
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        if part == "[[":
+            inside = rng.random() < 0.5
+        elif part == "]]":
+            inside = None
+        elif inside is False:
+            continue
+        elif part.startswith("{{"):
+            words += [f"w{rng.randrange(99)}" for _ in range(rng.randrange(int(part[2:-2]) + 1))]
+        else:
+            if inside is None:
+                fixed.append(len(words))
+            words.append(part)
+    return words, fixed
+
+
+@pytest.mark.parametrize("label", sorted(license_texts.TEXTS))
+def test_whole_license_texts(label):
+    rng = random.Random(label)
+    a = license_scan.Automaton([(label, license_texts.TEXTS[label])])
+
+    def accepted(words: list[str]) -> bool:
+        tokens = [w.encode() for w in words]
+        return any(t in a.first and a.longest(tokens, k) for k, t in enumerate(tokens))
+
+    for _ in range(30):
+        words, fixed = filled(license_texts.TEXTS[label], rng)
+        assert len(fixed) > 60 and accepted(["x", *words, "y"])
+        at = rng.choice(fixed)
+        assert not accepted([*words[:at], "changed", *words[at + 1:]])
+        assert not accepted([*words[:at], *words[at + 1:]]) or words[at] in words[at - 1:at] + words[at + 1:at + 2]
+
+
+def test_license_score(spark):
+    rng = random.Random(2)
+    words, _ = filled(license_texts.TEXTS["zlib"], rng)
+    rows = [(1, " ".join(words)), (2, "Copyright X. " + " ".join(words).upper() + " end"), (3, " ".join(words[:-1])), (4, "MIT license here now")]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(words)
+    assert out[1] == ("zlib", 1.0) and out[2] == ("zlib", pytest.approx(n / (n + 3)))
+    assert out[3] == ("", 0.0) and out[4] == ("mit", 0.5)
+
+
 def vector_rows() -> list[tuple]:
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(3, 16))
@@ -283,6 +346,31 @@ def test_close_fingerprints(spark):
     assert [roots.get(p, p) for p in prints] == [prints[w] for w in want]
 
 
+@pytest.mark.parametrize("low", [True, False])
+def test_many_fingerprints_that_share_a_half(low):
+    rng = np.random.default_rng(9)
+    other = rng.integers(0, 1 << 32, 3000, np.uint64)
+    for d in (1, 2, 3, 4, 4, 5):
+        masks = np.array([sum(1 << int(b) for b in rng.choice(32, d, replace=False)) for _ in range(300)], np.uint64)
+        other = np.concatenate([other, rng.choice(other, 300) ^ masks])
+    half = np.uint64(0x1234567)
+    fp = np.unique(other << np.uint64(32) | half if low else half << np.uint64(32) | other)
+    links = np.concatenate(list(simhash.group_links(fp, low, 4)))
+    assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 4).all()
+    at = {int(f): i for i, f in enumerate(fp)}
+    got = B.parts(len(fp), [(at[int(a)], at[int(b)]) for a, b in links])
+    want = B.parts(len(fp), [(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i] ^ fp) <= 4)])
+    assert got == want
+
+
+def test_a_group_of_many_distinct_fingerprints_is_quick():
+    rng = np.random.default_rng(4)
+    fp = np.unique(rng.integers(0, 1 << 32, 100_000, np.uint64))
+    start = time.perf_counter()
+    list(simhash.group_links(fp, False, 4))
+    assert time.perf_counter() - start < 40
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 480)] + [(9, 9)]
@@ -310,6 +398,22 @@ def test_suffixes_of_odd_rows(spark):
     assert got(out, "doc_id", "n_removed") == Counter({(1, 0): 2, (None, 250): 1, (2, 250): 1})
 
 
+def test_suffixes_of_many_texts_under_one_id(spark):
+    """Thousands of texts of one id with a passage in common, some of equal length."""
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=130))
+    rows = [(7, "".join(rng.choices("ijklmnop", k=rng.choice([5, 5, 60]))) + passage + str(k), None) for k in range(4000)]
+    rows += [(8, passage, None), (7, rows[0][1], None), (6, "z" + passage[:100], None)]
+    out = suffix_dedup.drop_repeats(frame(spark, rows), Workspace(spark)).select("doc_id", "n_bytes", "n_removed").collect()
+    # Texts of one id follow each other in the order of their hashes; equal rows are one document.
+    keyed = spark.createDataFrame(list(set(rows)), "doc_id long, text string, s string").select("doc_id", *row_key("text"), "text").collect()
+    order = sorted(keyed, key=lambda r: (r["doc_id"], r["k1"], r["k2"]))
+    plain = {r["text"]: tuple(x)[1:] for r, x in zip(order, B.repeats([(n, r["text"]) for n, r in enumerate(order)]), strict=True)}
+    assert Counter(tuple(r) for r in out) == Counter((i, *plain[t][:2]) for i, t, _ in rows)
+    with pytest.raises(TypeError, match="doc_id"):
+        suffix_dedup.drop_repeats(spark.createDataFrame([("x", "y")], "doc_id string, text string"), Workspace(spark))
+
+
 def test_hashes_match_bytes():
     data = np.frombuffer(("xyz" * 50 + "abc" * 50 + "xyz" * 50).encode(), np.uint8)
     h = suffix_runs.Hashes(data).of(slice(0, len(data) - 31), slice(32, None))

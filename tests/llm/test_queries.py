@@ -45,6 +45,51 @@ def test_brute(spark, name):
     assert rows == Counter(BRUTE[name](texts()))
 
 
+def test_quality_query(spark):
+    rows = catalog.QUERIES["op1_quality_rules"](spark, SMALL).collect()
+    assert Counter(tuple(r)[:7] for r in rows) == Counter((i, *B.quality(t)) for i, t in texts())
+    assert not any(r["base_failed"] and r["kept"] for r in rows)
+
+
+def test_quality_query_learns(spark):
+    """Labelled poor texts that pass the base go, good ones stay, on few labels too."""
+    folder = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in catalog.QUERIES["op1_quality_rules"](spark, folder).collect()}
+    labels = connect(folder).sql("SELECT doc_id, quality FROM labels").fetchall()
+    judged = [(q, rows[i]["kept"]) for i, q in labels if q is not None and i in rows and not rows[i]["base_failed"]]
+    poor, good = [k for q, k in judged if q == 0], [k for q, k in judged if q == 1]
+    assert len(poor) > 10 and sum(poor) < 0.3 * len(poor)
+    assert sum(good) >= 0.99 * len(good)
+
+
+def test_mixing_query(spark):
+    rows = catalog.QUERIES["op2_source_mixing"](spark, SMALL).collect()
+    docs = connect(SMALL).sql("SELECT doc_id, text, source FROM documents").fetchall()
+    size, source = {i: len(B.WORD.findall(t or "")) for i, t, _ in docs}, {i: s for i, _, s in docs}
+    total, taken = Counter(), Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+    want = B.targets(total)
+    for r in rows:
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], total[source[r["doc_id"]]])
+        assert r["target"] == pytest.approx(want[source[r["doc_id"]]]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert len(rows) == len(docs) and all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_license_query(spark):
+    rows = catalog.QUERIES["op7_license_scan"](spark, SMALL).collect()
+    have = Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) for r in rows)
+    assert have == Counter((i, *B.licenses(t)) for i, t in texts())
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_vector_query(spark):
+    rows = [tuple(r) for r in catalog.QUERIES["op8_vector_groups"](spark, SMALL).select("vec_id", "n_links", "component_id", "kept").collect()]
+    vectors = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    assert Counter(rows) == Counter(B.vectors(vectors))
+
+
 def test_language_model(spark):
     rows = catalog.QUERIES["op12_bilinear_lm"](spark, SMALL).collect()
     want = {r[0]: r for r in B.unigrams(texts())}
