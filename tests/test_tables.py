@@ -259,7 +259,7 @@ def committed():
                     staged = f"{folder}/staged-{number}-{TaskContext.get().taskAttemptId()}"
                     with open(staged, "w") as out:
                         for row in rows:
-                            if "bad" in row:
+                            if "bad" in tuple(row):
                                 raise ValueError("bad row")
                             out.write(json.dumps(list(row)) + "\n")
                     message = Staged()
