@@ -139,5 +139,4 @@ def with_rule_table(urls: DataFrame, rules: DataFrame, hosts: DataFrame) -> Data
     of_host = hosts.select("host", "denied", F.col("delay").alias("_delay"))
     return (spread_lookup(urls.join(first, "url", "left").withColumn("host", url_domain(F.col("url"))), of_host, "host", "url")
             .withColumn("robots_ok", ~F.coalesce(F.col("denied"), F.lit(False)) & F.coalesce(F.col("_allow"), F.lit(True)))
-            .withColumn("robots_delay", F.col("_delay"))
-            .drop("host", "_allow", "_delay", "denied"))
+            .select(*urls.columns, "robots_ok", F.col("_delay").alias("robots_delay")))

@@ -5,7 +5,8 @@ from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import functions as F
 
-from pagemill.sources.robots import agent_group, filter_robots, read_robots, rules_allow
+from pagemill.sources.robots import (
+    agent_group, filter_robots, read_robots, rule_table, rules_allow, with_robots, with_rule_table)
 
 LINES = ["User-agent: *", "User-agent: Bot", "user-agent : other/1.0 # c", "Disallow: /a", "Allow: /a/b", "Disallow:", "DISALLOW: /a%20x?y=1",
          "Crawl-delay: 3", "Crawl-delay: x", "", "", "# note", "   ", "Sitemap: http://x/s", "Allow: /", "Disallow: *", "Request-rate: 1/5",
@@ -64,3 +65,23 @@ def test_hot_host_is_spread(spark):
     total = sum(not str(i).startswith("1") for i in range(100000))
     assert sum(r["count"] for r in kept) == total
     assert max(r["count"] for r in kept) < 0.45 * total
+
+
+def test_rule_table_agrees_with_lists(spark):
+    rng = random.Random(6)
+    paths = ["", "/", "/a", "/a/", "/ab", "/a/b", "/a/b?c", "/b%20c", "/é", "/long" * 9]
+
+    def body():
+        lines = [f"{rng.choice(['Allow', 'Disallow'])}: {rng.choice(paths)}" for _ in range(rng.randint(0, 9))]
+        return "\n".join(["User-agent: *", *lines, "Crawl-delay: 3"][:rng.choice([1, 20, 20, 20])])
+
+    files = [(f"h{k}", body(), 403 if k == 7 else 200) for k in range(25)] + [("h3", "zz", 200)]
+    robots = read_robots(spark.createDataFrame(files, "host string, body string, status int"))
+    urls = [(n, f"http://h{rng.randrange(28)}{rng.choice(paths)}{rng.choice(['', 'x', '/y', '?q', '#f'])}") for n in range(1500)]
+    frame = spark.createDataFrame([*urls, (0, None), (1, "no url"), urls[5]], "n int, url string")
+    want = sorted((tuple(r) for r in with_robots(frame, robots).collect()), key=str)
+    got = with_rule_table(frame, *rule_table(robots))
+    assert got.columns == with_robots(frame, robots).columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert {r[2] for r in want} == {True, False}
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

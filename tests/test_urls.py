@@ -1,10 +1,16 @@
 """URL expressions against the standard library."""
 
+import random
+import re
 from urllib.parse import quote, unquote, urljoin, urlparse, urlsplit, urlunparse, urlunsplit
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
+from pagemill.functions.urls import url_matches_any
+from pagemill.operators.patterns import filter_patterns, pattern_table, required_text
+from pagemill.storage import Workspace
 
 BASES = ["http://A.com/b/c/d;p?q", "https://shop.example.com", "https://Shop.example.com/a/b/", "http://x.org/a//b/../c.html?x=1#f",
          "/just/path", "", "mailto:a@b", "http://h/;x/y;z", "http://u:p@H.org:80/x/./y", "file:///etc/x", "http://h//a//b"]
@@ -57,3 +63,41 @@ def test_filters(spark):
     assert df.filter(U.url_matches_any(u, F.lit(None).cast("array<string>"))).count() == 3
     assert [r[0] for r in df.select(U.robots_url(u)).collect()] == [
         "https://a.b.com/robots.txt", "https://b.com/robots.txt", ""]
+
+
+REQUIRED = {r"/a/b\.html$": "/a/b.html", "ab+cd": "ab", "ab*cd": "cd", "(abc)?def": "def", "abc|defg": "", "(a|b)xyz": "xyz", "[abc]xyz{2}w": "xyz",
+            "x{0,3}yz": "yz", "(?i)abc": "", r"\d+abc": "abc", r"a\/b": "a/b", "": "", "^https?://h/": "://h/", "a{,2}b": "b", "(abc(d)+)efg": "efg",
+            r"\babcd\n": "abcd", "[^/]+/page-": "/page-", "a.b": "a", r"[\]x]yy": "yy", "xx{2}": "xx"}
+
+
+@pytest.mark.parametrize("pattern", list(REQUIRED))
+def test_required_text(pattern):
+    assert required_text(pattern) == REQUIRED[pattern]
+
+
+def test_pattern_sets_agree_with_trying_all(spark):
+    rng = random.Random(8)
+    pieces = ["/item", "/page-", "[0-9]+", ".*", "(a|b)", "x?", "html", r"\.", "$", "^http", "shop"]
+    patterns = [(f"s{rng.randrange(12)}", "".join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))) for _ in range(150)]
+    patterns = [(s, p) for s, p in patterns if not p.startswith("^http^")] + [(None, "x"), ("s1", None), ("s2", "#end"), ("s2", "#end")]
+    urls = [(n, rng.choice([None, "s99", *[f"s{k}" for k in range(12)]]), "http://shop" + "".join(
+        rng.choice(["/item", "/page-", "7", "html", ".", "a", "x", "#end"]) for _ in range(rng.randint(0, 6)))) for n in range(1200)]
+    urls += [(1, "s1", None), urls[3], (2, "s2", "")]
+    table = Workspace(spark).put(pattern_table(spark.createDataFrame(patterns, "set_id string, pattern string")), "patterns")
+    got = filter_patterns(spark.createDataFrame(urls, "n int, set_id string, url string"), table)
+    sets = {}
+    for s, p in patterns:
+        if s and p:
+            sets.setdefault(s, []).append(re.compile(p))
+    want = [r for r in urls if r[1] not in sets or (r[2] is not None and any(p.search(r[2]) for p in sets[r[1]]))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert table.filter("gram IS NOT NULL").count() > 20 and len(want) < len(urls)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="not a URL pattern"):
+        pattern_table(spark.createDataFrame([("s", "(")], "set_id string, pattern string")).collect()
+
+
+def test_patterns_of_a_column(spark):
+    rows = [(["b$"], "ab"), (["x", "a.c"], "zabc"), ([r"(a)\1", "q"], "aa"), ([r"(a)\1", "q"], "q"), ([], "a"), (None, "a"), (["(", ""][1:], "a"), (["b"], "a")]
+    found = spark.createDataFrame(rows, "p array<string>, u string").select(url_matches_any(F.col("u"), F.col("p")).alias("m"))
+    assert [r.m for r in found.collect()] == [True, True, True, True, True, True, True, False]
