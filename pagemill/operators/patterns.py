@@ -128,4 +128,4 @@ def filter_patterns(rows: DataFrame, table: DataFrame) -> DataFrame:
     """
     sets = table.select("set_id").distinct()
     free = rows.join(sets, "set_id", "left_anti")
-    return rows.join(matching_urls(rows, table), ["set_id", "url"], "left_semi").unionByName(free)
+    return rows.join(matching_urls(rows, table), ["set_id", "url"], "left_semi").unionByName(free).select(*rows.columns)
