@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from pagemill import catalog
 from pagemill.operators import chunks as K
 from pagemill.operators import reshape as R
 from pagemill.operators.extract import (
@@ -481,3 +482,17 @@ def test_job_gives_the_same_rows_with_and_without_a_page_hook(spark, tmp_path):
     want = [("http://h/1", 1, "one", "5"), ("http://h/2", 1, "two", "6"), ("http://h/2", 2, None, "7")]
     key = ["url", "row_ord"]
     assert [tuple(r) for r in plain.orderBy(*key).collect()] == [tuple(r) for r in hooked.orderBy(*key).collect()] == want
+
+
+@pytest.fixture()
+def pages_in_files(spark, tmp_path):
+    """A folder whose pages table is a folder of three files."""
+    rows = [(i, f"http://x.org/{i}", f'<title>t{i}</title><nav><a href="/{i}">l</a></nav><div class="ad">d</div>') for i in range(6)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3, "page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_stream_cells_of_a_table_in_several_files(spark, pages_in_files):
+    assert catalog.stream_cells(spark, pages_in_files).count() == 6 * 4
+    assert catalog.stream_extract(spark, pages_in_files).count() == 6
+    assert [r.url for r in catalog.stream_dedup(spark, pages_in_files).collect()] == ["x.org"]
