@@ -496,3 +496,7 @@ def test_stream_cells_of_a_table_in_several_files(spark, pages_in_files):
     assert catalog.stream_cells(spark, pages_in_files).count() == 6 * 4
     assert catalog.stream_extract(spark, pages_in_files).count() == 6
     assert [r.url for r in catalog.stream_dedup(spark, pages_in_files).collect()] == ["x.org"]
+
+
+def test_stream_job_of_a_table_in_several_files(spark, pages_in_files):
+    assert catalog.stream_job(spark, pages_in_files).count() == 5
