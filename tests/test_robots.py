@@ -5,6 +5,7 @@ from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import functions as F
 
+from pagemill.storage import Workspace
 from pagemill.sources.robots import (
     agent_group, filter_robots, read_robots, rule_table, rules_allow, with_robots, with_rule_table)
 
@@ -85,3 +86,16 @@ def test_rule_table_agrees_with_lists(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
     assert {r[2] for r in want} == {True, False}
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_rules_are_not_broadcast(spark):
+    """Stored rules look small to Spark, as it measures their file before they are repeated."""
+    ws = Workspace(spark)
+    lines = "User-agent: *\n" + "\n".join(f"Disallow: /{i}x" for i in range(200))
+    files = spark.createDataFrame([("x.org", lines)], "host string, body string")
+    rules, hosts = rule_table(ws.put(read_robots(files), "robots"))
+    urls = spark.createDataFrame([("http://x.org/7x/a",), ("http://x.org/7",), ("http://y.org/7x",)], "url string")
+    out = with_rule_table(urls, ws.put(rules, "rules"), ws.put(hosts, "hosts"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {r.url for r in out.collect() if not r.robots_ok} == {"http://x.org/7x/a"}
+    assert "_salt" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_salt" in line]
