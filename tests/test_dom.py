@@ -317,3 +317,14 @@ def test_long_lists_with_later_siblings_are_cheap(spark):
     assert select_css(shredded, ".m ~ li ~ li").count() == items - 1
     assert select_path(shredded, ["ol", ".m ~ li"]).count() == 1 and select_css(shredded, ".none ~ li").count() == 0
     assert time.perf_counter() - start < 60
+
+
+def test_plain_pages_are_read_without_python(spark):
+    """Spark's expressions and the scanner agree, also on tags that only look plain."""
+    rows = ['<!DOCTYPE html><html><title>a &lt; b</title><a href="/x">t</a><a href="">e</a>', '<title>t</title><p class=c><a href="/y" id="i">', "<a>n</a>",
+            '<a id="i" href="/z">', '<a href="/a&amp;b">', '<!-- <a href="/no"> --><a href="/c">', '<script><a href="/no"></script><a href="/d">',
+            '<title><a href="/no"></title>', '<a href="/e"', "<a href='/f'>", "x < y <a href=\"/g\">", '<p title="<a href="/no">', "", "no tags",
+            '<A HREF="/h">', '<a  href="/i">', '<abbr title="v"><a href="/j"></abbr></a>', '<a href="/k"/>', '<a href="/l\n2">', None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "id int, html string")
+    assert {r.id: r.hrefs for r in page_hrefs(frame).collect()} == {i: dom._hrefs(h or "") for i, h in enumerate(rows)}
+    assert frame.filter(~F.col("html").rlike(dom._ODD_TAG)).count() > 3

@@ -101,3 +101,13 @@ def test_patterns_of_a_column(spark):
     rows = [(["b$"], "ab"), (["x", "a.c"], "zabc"), ([r"(a)\1", "q"], "aa"), ([r"(a)\1", "q"], "q"), ([], "a"), (None, "a"), (["(", ""][1:], "a"), (["b"], "a")]
     found = spark.createDataFrame(rows, "p array<string>, u string").select(url_matches_any(F.col("u"), F.col("p")).alias("m"))
     assert [r.m for r in found.collect()] == [True, True, True, True, True, True, True, False]
+
+
+def test_links_without_scheme_and_within_the_page(spark):
+    bases = ["http://H.org/a/b?q=1#f", "https://h.org/a;p", "http://h.org", "ftp://h.org/x", "/only/path", "mailto:a@b"]
+    hrefs = ["//G.org/x", "//g.org", "//g.org/a/../b", "//g.org/a;p", "#f", "#", "?q=2", "?q=2#f", "?", "?#f", "#a#b", "//", "///x", "#a?b", "?a?b#c#d"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    plain = F.concat(F.lit("\t"), F.col("href"))          # a leading control character takes the long way
+    got = spark.createDataFrame(rows, "base string, href string").select(
+        U.resolve_link(F.col("base"), F.col("href")).alias("short"), U.resolve_link(F.col("base"), plain).alias("long")).collect()
+    assert [r.short for r in got] == [r.long for r in got]
