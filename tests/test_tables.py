@@ -4,6 +4,7 @@ import csv
 import json
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -500,3 +501,12 @@ def test_stream_cells_of_a_table_in_several_files(spark, pages_in_files):
 
 def test_stream_job_of_a_table_in_several_files(spark, pages_in_files):
     assert catalog.stream_job(spark, pages_in_files).count() == 5
+
+
+def test_streams_of_a_table_in_one_file(spark, tmp_path):
+    ws = Workspace(spark)
+    rows = [(i, f"http://x.org/{i}", f'<title>t{i}</title><nav><a href="/{i}">l</a></nav><div class="ad">d</div>') for i in range(3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{ws.path}/written")
+    (tmp_path / "pages.parquet").write_bytes(next(Path(f"{ws.path}/written").glob("part-*")).read_bytes())
+    assert catalog.stream_job(spark, str(tmp_path)).count() == 2
+    assert [r.url for r in catalog.stream_dedup(spark, str(tmp_path)).collect()] == ["x.org"]
