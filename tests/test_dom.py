@@ -328,3 +328,24 @@ def test_plain_pages_are_read_without_python(spark):
     frame = spark.createDataFrame(list(enumerate(rows)), "id int, html string")
     assert {r.id: r.hrefs for r in page_hrefs(frame).collect()} == {i: dom._hrefs(h or "") for i, h in enumerate(rows)}
     assert frame.filter(~F.col("html").rlike(dom._ODD_TAG)).count() > 3
+
+
+def test_only_pages_that_may_match_are_parsed(spark, monkeypatch):
+    from pagemill.operators import extract as X
+    from pagemill.sources.specs import Rule
+    sources = ['<p><a href="x">l</a></p>', '<article class="ware"><h2>n</h2></article>', "<article class='ware'><H2>odd</H2></article>",
+               '<article class="w&#97;re"><h2>e</h2></article>', '<div class="ware"><h2>out</h2></div>', "", '<h2>no</h2><a href="/y">z</a>']
+    pages = spark.createDataFrame([(f"http://h/{i}", s) for i, s in enumerate(sources)], "url string, html string")
+    rules = [Rule(0, "n", ("article.ware", "h2"), collect_text=True)]
+
+    def rows():
+        return sorted((r.url, r.targets, r.rows) for r in X.pages_and_links(pages, rules).collect())
+
+    got = rows()
+    sets = pages.withColumn("sets", F.when(F.col("url") != "http://h/0", F.array(F.lit(7))))
+    found = sorted((r.url, r.targets, r.found) for r in X.pages_for_sets(sets, {7: rules}).collect())
+    assert pages.filter(X.without_matches(rules)).count() == 4
+    monkeypatch.setattr(X, "without_matches", lambda rules: None)
+    assert rows() == got and [len(r[2]) for r in got] == [0, 1, 1, 1, 0, 0, 0]
+    assert sorted((r.url, r.targets, r.found) for r in X.pages_for_sets(sets, {7: rules}).collect()) == found
+    assert X.required_texts("a, b") == X.required_texts("h2:not(.x)") == X.required_texts("tbody") == set()

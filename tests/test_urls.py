@@ -111,3 +111,21 @@ def test_links_without_scheme_and_within_the_page(spark):
     got = spark.createDataFrame(rows, "base string, href string").select(
         U.resolve_link(F.col("base"), F.col("href")).alias("short"), U.resolve_link(F.col("base"), plain).alias("long")).collect()
     assert [r.short for r in got] == [r.long for r in got]
+
+
+def test_plain_urls_take_the_same_way_as_all_others(spark):
+    urls = ["http://h", "http://h/", "https://h:8/a//b", "http://h/a;p/b", "http://h/./a", "http://h/a?", "http://h/a?#", "http://h/a#", "http://h/a?x#y",
+            "HTTP://H/A", "http://H/a", "http://h/a b", "http://h/\ta", " http://h/a", "http://h/é", "http://É/a", "", None, "http://h?q", "//h/a"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    plain = U._PLAIN_PATH, U._PLAIN_URL
+    fast = [tuple(r) for r in df.select(U.normalize_url(F.col("u")), U.base_parts(F.col("u"))).collect()]
+    try:
+        U._PLAIN_PATH = U._PLAIN_URL = r"^\x00never\z"
+        slow = [tuple(r) for r in df.select(U.normalize_url(F.col("u")), U.base_parts(F.col("u"))).collect()]
+    finally:
+        U._PLAIN_PATH, U._PLAIN_URL = plain
+    assert fast == slow
+    for domains in (["h"], ["h/a"], ["h", None], [], [""]):
+        fit = df.select(U.url_in_domains(F.col("u"), F.lit(domains).cast("array<string>")), F.array_contains(
+            F.lit(domains).cast("array<string>"), U.url_domain(F.col("u")))).collect()
+        assert [r[0] for r in fit] == [r[1] for r in fit]
