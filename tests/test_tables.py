@@ -510,3 +510,15 @@ def test_streams_of_a_table_in_one_file(spark, tmp_path):
     (tmp_path / "pages.parquet").write_bytes(next(Path(f"{ws.path}/written").glob("part-*")).read_bytes())
     assert catalog.stream_job(spark, str(tmp_path)).count() == 2
     assert [r.url for r in catalog.stream_dedup(spark, str(tmp_path)).collect()] == ["x.org"]
+
+
+def test_stream_state_is_on_disk_and_settings_come_back(spark, tmp_path):
+    pages = spark.createDataFrame([("http://h/a",), ("http://h/b",), ("http://h/a",)], "url string")
+    pages.write.parquet(f"{tmp_path}/in")
+    before = {k: spark.conf.get(k, None) for k in T.DISK_STATE}
+    arriving = T.stream_pages(spark, f"{tmp_path}/in", schema="url STRING")
+    query = T.stream_to_files(T.stream_new_urls(arriving), f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    assert {k: spark.conf.get(k, None) for k in T.DISK_STATE} == before
+    assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["http://h/a", "http://h/b"]
+    assert any(name.startswith("rocksdb") for name in query.lastProgress["stateOperators"][0]["customMetrics"])
