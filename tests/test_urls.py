@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
+from pagemill.functions.dom import page_hrefs
 from pagemill.functions.urls import url_matches_any
+from pagemill.operators.links import CLICK_HREFS, link_targets, page_targets
 from pagemill.operators.patterns import filter_patterns, pattern_table, required_text
 from pagemill.storage import Workspace
 
@@ -129,3 +131,17 @@ def test_plain_urls_take_the_same_way_as_all_others(spark):
         fit = df.select(U.url_in_domains(F.col("u"), F.lit(domains).cast("array<string>")), F.array_contains(
             F.lit(domains).cast("array<string>"), U.url_domain(F.col("u")))).collect()
         assert [r[0] for r in fit] == [r[1] for r in fit]
+
+
+def test_plain_links_leave_the_scan_resolved(spark):
+    """Targets put together in the Arrow stage are those of Spark's expressions, over many batches, and plain pages need no others."""
+    bases = [*BASES, "https://shop.example.com/a/b", "https://shop.example.com/", "http://h.org/a/b/c/", "http://h.org:8/a", "http://h.org/a?b", "http://h.org//a"]
+    hrefs = [*HREFS, "/", "/a/b/", "a/b-c_d/", "../a/b", "//Q.org", "//Q.org/x/", "HTTP://Q.org/X", "?page=2", "#reviews", "", *CLICK_HREFS]
+    hrefs = [h for h in hrefs if not re.search('["&<>]', h)]
+    rows = [(b, "".join(f'<a href="{h}">' for h in group)) for b in bases for group in [*([h] for h in hrefs), [], ["/a", "b", "/a", "#", "../c"]]]
+    rows = rows * 2 + [(f"https://shop.example.com/part/{i}", '<a href="?page=2"><a href="../line/1">') for i in range(3000)]
+    frame = spark.createDataFrame(rows, "url string, html string").coalesce(1)
+    want = page_hrefs(frame).select("url", link_targets(F.col("hrefs"), F.col("url")).alias("targets"))
+    assert page_targets(frame).collect() == want.collect()
+    plain = page_hrefs(frame.filter(F.col("url").contains("/part/")), skipped=CLICK_HREFS)
+    assert plain.filter("targets IS NULL OR hrefs IS NOT NULL").count() == 0
