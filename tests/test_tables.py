@@ -211,6 +211,15 @@ def test_stream_frontier_restarts_and_forgets(spark):
     assert got().count((0, "http://h/a")) == 2
 
 
+def test_stream_frontier_takes_plain_targets_from_the_scan(spark):
+    from pagemill.plans import crawl as C
+    settings = C.attach_robots(C.make_seeds(spark.createDataFrame([(0, "http://h/")], "seed_id int, url string"), url_patterns=["a$"]), None)
+    stream = spark.readStream.schema("url string, html string, at timestamp").parquet(Workspace(spark).path.rsplit("/", 1)[0])
+    plan = T.stream_frontier(stream, settings, "at")._jdf.queryExecution().analyzed().toString()
+    scan = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "targets#" in scan
+
+
 def test_many_specs_at_once_agree_with_one_by_one(spark):
     ws = Workspace(spark)
     rows = [("http://h/", '<a href="/a">x</a><a href="/b">y</a>'), ("http://h/a", "<div class=w><p>1<p>2</div><h1>A</h1><a href=/b#f>z</a>"),

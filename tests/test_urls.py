@@ -145,3 +145,23 @@ def test_plain_links_leave_the_scan_resolved(spark):
     assert page_targets(frame).collect() == want.collect()
     plain = page_hrefs(frame.filter(F.col("url").contains("/part/")), skipped=CLICK_HREFS)
     assert plain.filter("targets IS NULL OR hrefs IS NOT NULL").count() == 0
+
+
+def test_plain_robots_paths_take_the_same_way_as_all_others(spark):
+    urls = [*HREFS, "http://h", "http://h/", "https://h:8/a//b", "http://h//a", "http://h/a;p/b", "http://h/a;", "http://h/./a", "http://h/~a/b-c_d.e/",
+            "http://h/a?x#y", "HTTP://H/A", "http://h/a%2fb", "http://h/a+b", "http://h/a b", "http://h/\ta", "http://h/a\n", "http://h/é", "ftp://h/a", "", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    plain, fast = U._PLAIN_ROBOTS, df.select(U.robots_path(F.col("u"))).collect()
+    try:
+        U._PLAIN_ROBOTS = r"^\x00never\z"
+        assert fast == df.select(U.robots_path(F.col("u"))).collect()
+    finally:
+        U._PLAIN_ROBOTS = plain
+
+
+def test_patterns_are_joined_once_per_list(spark):
+    lists = [["b$"], ["x", "a.c"], [r"(a)\1", "q"], [], None, ["x", None], [None]]
+    rows = [(p, u) for p in lists for u in ("ab", "zabc", "aa", "q", "")]
+    df = spark.createDataFrame(rows, "p array<string>, u string").withColumn("j", U.joined_patterns(F.col("p")))
+    assert all(bool(m) == bool(n) for m, n in df.select(U.url_matches_any(F.col("u"), F.col("p")), U.url_matches_joined(F.col("u"), F.col("j"))).collect())
+    assert [r.j.joined for r in df.dropDuplicates(["p"]).filter("size(p) = 2 AND p[0] = 'x' AND p[1] = 'a.c'").collect()] == ["(?:x)|(?:a.c)"]
