@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url, page_url, url_domain
@@ -38,12 +38,27 @@ def wanted_pages(pages: DataFrame, seeds: DataFrame, redirects: DataFrame | None
     return known.select(*pages.columns, wanted.alias("sets"))
 
 
+def with_leaders(seeds: DataFrame) -> DataFrame:
+    """Add ``leader``: the first of the seeds that have the same URL and settings, which reach the same pages."""
+    same = Window.partitionBy(*[c for c in seeds.columns if c != "seed_id"])
+    return seeds.withColumn("leader", F.min("seed_id").over(same))
+
+
+def for_members(result: Crawl, members: DataFrame) -> Crawl:
+    """The crawl of the leaders as that of all seeds. ``members`` are ``(seed_id, _leader)``."""
+    def each(table: DataFrame) -> DataFrame:
+        led = table.withColumnRenamed("seed_id", "_leader").join(members, "_leader")
+        return led.select(*table.columns)
+
+    return Crawl(each(result.found), result.index, each(result.seeds))
+
+
 def run_jobs(spark: SparkSession, specs: DataFrame, pages: DataFrame, robots: DataFrame | None = None,
              redirects: DataFrame | None = None, arrival: str | None = None, write: bool = True,
              clear: bool = True) -> JobsResult:
     """Run all specs of a table (``specs.read_spec`` or ``specs.parse_specs``) over one corpus ``(url, html, status)``.
 
-    All seeds advance together in one crawl. A page is parsed once; the rules are data: specs with equal
+    All seeds advance together in one crawl, those with the same URL and settings as one. A page is parsed once; the rules are data: specs with equal
     rules share a set, a set is only tried on pages that one of its specs may reach, and the first
     steps that search hierarchies of any specs have in common are walked once per page. A spec gets
     the rows of the pages that its own seeds reached, and its own sinks. Specs are documents that someone
@@ -62,13 +77,17 @@ def run_jobs(spark: SparkSession, specs: DataFrame, pages: DataFrame, robots: Da
     pages = pages.withColumn("url", normalize_url(F.col("url")))
     answered = answered_pages(wanted_pages(pages, owners, redirects, list(sets)), arrival, keep=("sets",))
     parsed = ws.put_bucketed(newest(pages_for_sets(answered, sets, "status", "_order")), "parsed", "url")
-    result = crawl(seeds, pages, robots, redirects, track_source=False, index=parsed.select("url", "status", "targets"))
+    led = ws.put(with_leaders(seeds.distinct()), "led")
+    leaders = led.filter(F.col("seed_id") == F.col("leader")).drop("leader")
+    result = crawl(leaders, pages, robots, redirects, track_source=False, index=parsed)
+    members = led.select("seed_id", F.col("leader").alias("_leader"))
     flagged = owners.filter("only_scrape_sub_pages").select("spec_no", "url")
-    reached = (result.crawled.join(owners.select("seed_id", "spec_no", "set_no"), "seed_id")
-               .select("spec_no", "set_no", "url", "page").distinct().join(flagged, ["spec_no", "url"], "left_anti"))
-    met = parsed.select(F.col("url").alias("page"), "found").join(reached, "page")
+    owned = owners.join(members, "seed_id").select(F.col("_leader").alias("seed_id"), "spec_no", "set_no").distinct()
     rows = F.get(F.filter("found", lambda f: f["set_no"] == F.col("set_no")), F.lit(0))["rows"]
-    long = met.select("spec_no", "url", F.posexplode(rows).alias("row_ord", "row")).withColumn("row_ord", F.col("row_ord") + 1)
+    reached = result.answers.select("seed_id", "url", "found").join(owned, "seed_id").select("spec_no", "url", rows.alias("rows"))
+    met = (reached.filter(F.size("rows") > 0).join(flagged, ["spec_no", "url"], "left_anti")
+           .dropDuplicates(["spec_no", "url"]))
+    long = met.select("spec_no", "url", F.posexplode("rows").alias("row_ord", "row")).withColumn("row_ord", F.col("row_ord") + 1)
     long.repartition("spec_no", "url").write.partitionBy("spec_no").parquet(f"{ws.path}/rows")
     stored = spark.read.schema("url string, row_ord int, row array<string>, spec_no int").parquet(f"{ws.path}/rows")
     tables, sinks = {}, {}
@@ -79,4 +98,4 @@ def run_jobs(spark: SparkSession, specs: DataFrame, pages: DataFrame, robots: Da
         if write and saving.get(spec_id):
             table, sinks[spec_id] = save_table(table, saving[spec_id], clear, Workspace(spark))
         tables[spec_id] = table
-    return JobsResult(tables, result, sinks)
+    return JobsResult(tables, for_members(result, members), sinks)

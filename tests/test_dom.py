@@ -349,3 +349,22 @@ def test_only_pages_that_may_match_are_parsed(spark, monkeypatch):
     assert rows() == got and [len(r[2]) for r in got] == [0, 1, 1, 1, 0, 0, 0]
     assert sorted((r.url, r.targets, r.found) for r in X.pages_for_sets(sets, {7: rules}).collect()) == found
     assert X.required_texts("a, b") == X.required_texts("h2:not(.x)") == X.required_texts("tbody") == set()
+
+
+def test_parsed_pages_leave_the_scan_resolved(spark):
+    """Links of pages with and without a tree, over many batches, are those of Spark's expressions; one stage reads all pages."""
+    from pagemill.operators import extract as X
+    from pagemill.operators.links import anchor_hrefs, link_targets
+    from pagemill.sources.specs import Rule
+    bodies = ['<p><a href="x">l</a></p>', '<h2>n</h2><a href="../y">z</a><a href="../y">z</a><a>no</a><a href="#">c</a>', "<h2><a HREF='HTTP://Q.r/A?b#c'>o",
+              '<a href="mailto:a@b">m</a>', '<h2>e</h2><a href="">e</a><a href="a&amp;b">f</a>', "", '<a href="?q=1">q</a><a>x', "<h2>no links</h2>"]
+    pages = spark.createDataFrame([(f"http://h/d/{i}", i, bodies[i % len(bodies)]) for i in range(3000)], "url string, n int, html string").coalesce(1)
+    rules = [Rule(0, "n", ("h2",), collect_text=True)]
+    want = shred_pages(pages).select("url", "n", link_targets(anchor_hrefs(F.col("nodes")), F.col("url")).alias("targets"))
+    got = X.pages_and_links(pages, rules, "n")
+    assert got.select("url", "n", "targets").collect() == want.collect()
+    assert [len(r.rows) for r in got.orderBy("n").limit(8).collect()] == [0, 1, 1, 0, 1, 0, 0, 1]
+    linked = X.linked_pages(pages, rules)
+    assert linked.filter("n < 8 AND size(nodes) = 0").count() == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan

@@ -18,6 +18,7 @@ from pagemill.operators.extract import (
 from pagemill.operators.ranks import group_rank, running_total
 from pagemill.functions.values import register_value
 from pagemill.operators.schedule import crawl_schedule, crawl_timeline
+from pagemill.plans import crawl as C
 from pagemill.plans.job import run_job
 from pagemill.plans.jobs import run_jobs
 from pagemill.sinks import writers as S
@@ -249,6 +250,28 @@ def test_many_specs_at_once_agree_with_one_by_one(spark):
             assert S.read_csv(spark, {"file_path": f"{ws.path}/out-{name}"}, ", ".join(f"`{c}` STRING" for c in alone.columns[2:])).count() == len(want)
 
 
+def test_specs_with_equal_seeds_share_a_crawl(spark, monkeypatch):
+    from pagemill.plans import jobs
+    rows = [("http://h/", '<h1>H</h1><a href="/a">x</a>'), ("http://h/a", '<h1>A</h1><p>p</p><a href="/#t">y</a>')]
+    one, two = ({"name": n, "css_selector": n, "data_parsing": {"collect_text": True}} for n in ("h1", "p"))
+
+    def spec(i, element, depth, *urls):
+        targets = [{"url": u, "options": {"only_scrape_sub_pages": False}, "crawler": {"max_depth": depth, "allowed_domains": ["h"]}} for u in urls]
+        return i, json.dumps({"target_urls": targets, "elements": [element]})
+
+    specs = [spec("a", one, 6, "http://h/", "HTTP://H/"), spec("b", two, 6, "http://h/"), spec("c", one, 0, "http://h/")]
+    seeds = []
+    monkeypatch.setattr(jobs, "crawl", lambda given, *a, **k: (seeds.extend(r.seed_id for r in given.collect()), crawl(given, *a, **k))[1])
+    crawl = C.crawl
+    done = run_jobs(spark, parse_specs(spark.createDataFrame(specs, "spec_id string, spec string")), spark.createDataFrame(rows, "url string, html string"))
+    assert sorted(seeds) == ["a 0", "c 0"]
+    got = {i: sorted(tuple(r) for r in t.collect()) for i, t in done.tables.items()}
+    assert got == {"a": [("http://h/", 1, "H"), ("http://h/#t", 1, "H"), ("http://h/a", 1, "A")], "b": [("http://h/a", 1, "p")], "c": [("http://h/", 1, "H")]}
+    found = sorted((r.seed_id, r.url) for r in done.crawl.crawled.collect())
+    assert found == [(i, u) for i in ("a 0", "a 1", "b 0") for u in ("http://h/", "http://h/#t", "http://h/a")] + [("c 0", "http://h/")]
+    assert sorted(r.seed_id for r in done.crawl.seeds.collect()) == ["a 0", "a 1", "b 0", "c 0"]
+
+
 def committed():
     """A local class travels with the plan."""
     class Staged(WriterCommitMessage):
