@@ -178,3 +178,14 @@ def test_corpus_urls_are_normalised(spark):
     result = C.crawl(C.make_seeds(spark.createDataFrame([(0, "http://host.test/")], "seed_id int, url string")), pages)
     assert {r.url for r in result.crawled.collect()} == {"http://host.test/", "http://host.test/x"}
     assert {r.url for r in result.pages(pages).collect()} == {"http://host.test/x"}
+
+
+def test_levels_keep_what_the_index_tells_of_a_page(spark):
+    pages = [("http://h/", 200, ["http://h/a#x", "http://h/none"], ["r"]), ("http://h/a", 200, ["http://h/late"], ["s", "t"]), ("http://h/late", 200, [], ["u"])]
+    index = spark.createDataFrame(pages, "url string, status int, targets array<string>, rows array<string>")
+    seeds = C.make_seeds(spark.createDataFrame([(0, "http://h/"), (1, "http://h/a")], "seed_id int, url string"), max_depth=1)
+    result = C.crawl(seeds, index, index=index)
+    assert sorted((r.seed_id, r.url, r.page, r.rows) for r in result.answers.collect()) == [
+        (0, "http://h/", "http://h/", ["r"]), (0, "http://h/a#x", "http://h/a", ["s", "t"]), (1, "http://h/a", "http://h/a", ["s", "t"]),
+        (1, "http://h/late", "http://h/late", ["u"])]
+    assert result.index.columns == ["url", "status", "targets"] and "rows" not in result.crawled.columns

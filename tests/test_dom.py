@@ -1,6 +1,7 @@
 """The tree builder, selectors and values on small pages."""
 
 import random
+import re
 import time
 from html.parser import HTMLParser
 
@@ -351,6 +352,29 @@ def test_only_pages_that_may_match_are_parsed(spark, monkeypatch):
     assert X.required_texts("a, b") == X.required_texts("h2:not(.x)") == X.required_texts("tbody") == set()
 
 
+def test_plain_end_tags_are_read_without_a_pattern(monkeypatch):
+    """They close the innermost element as any other form of the tag does."""
+    def tree(source):
+        out = dom._Batch()
+        dom._add_page(out, source, None)
+        return out.ints, out.tag, out.chunks, out.hrefs
+
+    class Counting:
+        seen = 0
+
+        def match(self, source, at):
+            Counting.seen += source.startswith("</", at)
+            return plain.match(source, at)
+
+    plain = dom._PLAIN_TAG
+    monkeypatch.setattr(dom, "_PLAIN_TAG", Counting())
+    page = '<body><h1>H</h1><ul><li><a href="x">l</a><a href="y">m</a><li>n</li></ul><p>q<b>r</b><a>s<a href="z">t</a></p></body>'
+    fast = tree(page)
+    assert Counting.seen == 1                    # only the end of the body
+    assert fast == tree(re.sub("</([a-z0-9]+)>", lambda m: f"</{m[1].upper()}>", page)) and Counting.seen > 8
+    assert fast[3] == ["x", "y", None, "z"]
+
+
 def test_parsed_pages_leave_the_scan_resolved(spark):
     """Links of pages with and without a tree, over many batches, are those of Spark's expressions; one stage reads all pages."""
     from pagemill.operators import extract as X
