@@ -215,7 +215,9 @@ def test_stream_frontier_restarts_and_forgets(spark):
 def test_stream_frontier_takes_plain_targets_from_the_scan(spark):
     from pagemill.plans import crawl as C
     settings = C.attach_robots(C.make_seeds(spark.createDataFrame([(0, "http://h/")], "seed_id int, url string"), url_patterns=["a$"]), None)
-    stream = spark.readStream.schema("url string, html string, at timestamp").parquet(Workspace(spark).path.rsplit("/", 1)[0])
+    ws, schema = Workspace(spark), "url string, html string, at timestamp"
+    ws.put(spark.createDataFrame([], schema), "in")
+    stream = spark.readStream.schema(schema).parquet(f"{ws.path}/in")
     plan = T.stream_frontier(stream, settings, "at")._jdf.queryExecution().analyzed().toString()
     scan = next(line for line in plan.splitlines() if "MapInArrow" in line)
     assert "targets#" in scan
